@@ -17,5 +17,23 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op5_bpe": op5_bpe}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii_bootstrap
+
+    return pii_bootstrap.report(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_mil
+
+    return quality_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op9_pii": op9_pii, "op10_quality_mil": op10_quality_mil}
 ORACLE_SQL: dict[str, str] = {}
