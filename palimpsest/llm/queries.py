@@ -35,5 +35,31 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op9_pii": op9_pii, "op10_quality_mil": op10_quality_mil}
-ORACLE_SQL: dict[str, str] = {}
+def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hyperminhash
+
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
+QUERIES = {"op3_hyperminhash": op3_hyperminhash, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op9_pii": op9_pii, "op10_quality_mil": op10_quality_mil}
+
+#: Words with ASCII white space around; lower() is replaced as only A-Z change.
+_ABC = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP3 = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(%s, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w
+), e as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (
+  select a.doc_id as x, b.doc_id as y from e a join e b on a.g = b.g and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), l as (select x, y from p union all select y, x from p),
+r as (select doc_id as x, doc_id as c from documents union select l.y, r.c from r join l on l.x = r.x),
+c as (select x, min(c) as c from r group by x)
+select s.doc_id, len(s.s)::bigint as n_shingles, c.c as component_id, s.doc_id = c.c as kept from s join c on c.x = s.doc_id
+""" % _ABC.format("coalesce(text, '')")
+
+ORACLE_SQL: dict[str, str] = {"op3_hyperminhash": _OP3}
