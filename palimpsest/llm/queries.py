@@ -41,7 +41,13 @@ def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
-QUERIES = {"op3_hyperminhash": op3_hyperminhash, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op9_pii": op9_pii, "op10_quality_mil": op10_quality_mil}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op3_hyperminhash": op3_hyperminhash, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontaminate": op7_decontaminate, "op9_pii": op9_pii, "op10_quality_mil": op10_quality_mil}
 
 #: Words with ASCII white space around; lower() is replaced as only A-Z change.
 _ABC = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -62,4 +68,22 @@ c as (select x, min(c) as c from r group by x)
 select s.doc_id, len(s.s)::bigint as n_shingles, c.c as component_id, s.doc_id = c.c as kept from s join c on c.x = s.doc_id
 """ % _ABC.format("coalesce(text, '')")
 
-ORACLE_SQL: dict[str, str] = {"op3_hyperminhash": _OP3}
+_OP7 = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(%s, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents
+), b as (
+  select item_id, list_filter(regexp_split_to_array(%s, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark
+), iw as (
+  select distinct item_id, least(len(w), 8) as n, unnest(list_transform(range(1, greatest(len(w) - 8, 0) + 2), lambda i: array_to_string(w[i:i + 7], ' '))) as win from b where len(w) > 0
+), n as (select distinct n from iw), aw as (
+  select doc_id, n.n, unnest(range(1, len(w) - n.n + 2)) as i, w from d join n on len(w) >= n.n
+), dw as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as win from aw),
+h as (select distinct dw.doc_id, dw.i, dw.n, iw.item_id from dw join iw on dw.win = iw.win and dw.n = iw.n),
+p as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by 1),
+t as (select doc_id, count(*) as n_items, sha256(string_agg(item_id::varchar, ',' order by item_id::varchar)) as items_sha256 from (select distinct doc_id, item_id from h) group by 1)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join p using (doc_id) left join t using (doc_id)
+""" % (_ABC.format("coalesce(text, '')"), _ABC.format("coalesce(text, '')"))
+
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": _OP7, "op3_hyperminhash": _OP3}
