@@ -47,7 +47,19 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op3_hyperminhash": op3_hyperminhash, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontaminate": op7_decontaminate, "op9_pii": op9_pii, "op10_quality_mil": op10_quality_mil}
+def op1_embedding_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embedding_pigeonhole
+
+    return embedding_pigeonhole.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_blocks
+
+    return html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {"op1_embedding_pigeonhole": op1_embedding_pigeonhole, "op3_hyperminhash": op3_hyperminhash, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontaminate": op7_decontaminate, "op8_html_blocks": op8_html_blocks, "op9_pii": op9_pii, "op10_quality_mil": op10_quality_mil}
 
 #: Words with ASCII white space around; lower() is replaced as only A-Z change.
 _ABC = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -86,4 +98,17 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
 from d left join p using (doc_id) left join t using (doc_id)
 """ % (_ABC.format("coalesce(text, '')"), _ABC.format("coalesce(text, '')"))
 
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": _OP7, "op3_hyperminhash": _OP3}
+_OP1 = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+), ok as (
+  select vec_id, e, sqrt(list_dot_product(e, e)) as n from v
+  where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0
+), l as (
+  select a.vec_id as x, b.vec_id as y from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) >= 0.9 * a.n * b.n
+), r as (select vec_id as x, vec_id as c from v union select l.y, r.c from r join l on l.x = r.x),
+c as (select x, min(c) as c from r group by x), n as (select x, count(*) as n from l group by x)
+select c.x as vec_id, coalesce(n.n, 0)::bigint as n_links, c.c as component_id, c.x = c.c as kept from c left join n on n.x = c.x
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embedding_pigeonhole": _OP1, "op7_decontaminate": _OP7, "op3_hyperminhash": _OP3}
