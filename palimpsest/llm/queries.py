@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_levels
+
+    return suffix_levels.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +65,7 @@ def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op1_embedding_pigeonhole": op1_embedding_pigeonhole, "op3_hyperminhash": op3_hyperminhash, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontaminate": op7_decontaminate, "op8_html_blocks": op8_html_blocks, "op9_pii": op9_pii, "op10_quality_mil": op10_quality_mil}
+QUERIES = {"op1_embedding_pigeonhole": op1_embedding_pigeonhole, "op3_hyperminhash": op3_hyperminhash, "op4_suffix_levels": op4_suffix_levels, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontaminate": op7_decontaminate, "op8_html_blocks": op8_html_blocks, "op9_pii": op9_pii, "op10_quality_mil": op10_quality_mil}
 
 #: Words with ASCII white space around; lower() is replaced as only A-Z change.
 _ABC = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
