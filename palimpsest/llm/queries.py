@@ -41,6 +41,12 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import passage_chains
+
+    return passage_chains.passages(table(spark, sf_dir, "documents"))
+
+
 def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import hyperminhash
 
@@ -65,7 +71,7 @@ def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op1_embedding_pigeonhole": op1_embedding_pigeonhole, "op3_hyperminhash": op3_hyperminhash, "op4_suffix_levels": op4_suffix_levels, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontaminate": op7_decontaminate, "op8_html_blocks": op8_html_blocks, "op9_pii": op9_pii, "op10_quality_mil": op10_quality_mil}
+QUERIES = {"op1_embedding_pigeonhole": op1_embedding_pigeonhole, "op2_passage_chains": op2_passage_chains, "op3_hyperminhash": op3_hyperminhash, "op4_suffix_levels": op4_suffix_levels, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontaminate": op7_decontaminate, "op8_html_blocks": op8_html_blocks, "op9_pii": op9_pii, "op10_quality_mil": op10_quality_mil}
 
 #: Words with ASCII white space around; lower() is replaced as only A-Z change.
 _ABC = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
