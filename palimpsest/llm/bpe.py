@@ -11,12 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 #: A match of a byte-level pattern never runs from a visible character into the white space after it, and
 #: what follows is matched by looking ahead only. So the text may be cut before any white space that
 #: follows an ASCII letter, digit, full stop or comma.
 _SAFE = re.compile(r"(?<=[A-Za-z0-9.,])(?=[ \n])")
-CUT_CHARS = 1 << 16
+CUT_CHARS, STEP = 1 << 16, 512
 
 
 @lru_cache(maxsize=4)
@@ -53,25 +54,25 @@ def decode(ids: np.ndarray, path: str, pattern: str) -> bytes:
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``ids`` array<long> and ``decoded`` binary (replacing columns so named).
+    """The columns of ``docs`` but the text, with ids array<int>, n_tokens and decoded binary (replacing columns so named).
 
     A null or empty text has no ids and decodes to no bytes. Repeated rows stay; an empty table stays empty.
-    No shuffle: each task encodes the texts that it reads.
+    No shuffle: each task encodes the texts that it reads, STEP rows at a time.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
-    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded", "n_tokens", text.lower())]
+    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches):
-        for b in batches:
-            ids = [encode(t or "", path, pattern) for t in b.column("__text").to_pylist()]
-            out = [b.column(c) for c in range(b.num_columns - 1)]
-            out.append(pa.array([x.astype("i8") for x in ids], type=pa.list_(pa.int64())))
-            out.append(pa.array([decode(x, path, pattern) for x in ids], type=pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, names=[*kept, "ids", "decoded"])
-
-    from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
-
-    schema = StructType([f for f in own.schema.fields if f.name != "__text"]).add("ids", ArrayType(LongType())).add("decoded", BinaryType())
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                b = whole.slice(at, STEP)
+                ids = [encode(t or "", path, pattern) for t in b.column("__text").to_pylist()]
+                cuts = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+                new = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)), pa.array([len(x) for x in ids], pa.int64()), pa.array([decode(x, path, pattern) for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in range(b.num_columns - 1)], *new], names=[*kept, "ids", "n_tokens", "decoded"])
+
+    schema = StructType([f for f in own.schema.fields if f.name != "__text"]).add("ids", ArrayType(IntegerType())).add("n_tokens", LongType()).add("decoded", BinaryType())
     return own.mapInArrow(run, schema)
 
 

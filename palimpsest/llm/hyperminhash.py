@@ -194,6 +194,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     doc_id takes part in links but names no component; a component without any id has a null component_id, and its
     rows are kept. Only doc_id and text are read; an empty table gives an empty result.
     """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return _resolved(docs, k, num, den).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each component does: the least doc_id's (ids first, nulls last).
+
+    Rows whose texts have no words stay. Of repeated rows one stays; where an id repeats with other texts, the row
+    with the least hash. All columns are returned.
+    """
+    rows = _resolved(docs, k, num, den).where("component is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
+    first = rows.groupBy("component").agg(F.min(order).alias("w"))
+    loses = rows.join(first, "component").where(~(order.eqNullSafe(F.col("w"))))
+    loses = loses.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r")).distinct()
+    again = rows.groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"))
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), F.col("text").cast("string"))
+    keyed = docs.withColumn("__row", row)
+    same = lambda other: F.col("doc_id").cast("bigint").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r"))
+    left = keyed.join(loses, same(loses), "left_anti")
+    # repeated winners (a row given twice) are cut down to one; few rows, most often none
+    twice = left.join(again, same(again), "left_semi")
+    once = twice.dropDuplicates(["doc_id", "__row"])
+    return left.join(again, same(again), "left_anti").unionByName(once).drop("__row")
+
+
+def _resolved(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, row, n_shingles, component (null for empty sets), component_id."""
     bands, rows = layout(num / den)
     rows_ = cut(sketch(docs, k, bands, rows))
     classes = rows_.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("bands").alias("bands"))
@@ -208,7 +236,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     confirmed = components(links(candidates, texts, k, num, den))
     named = classes.select(F.col("digest").alias("node"), "least").join(confirmed, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(ids, "component").select(F.col("node").alias("digest"), "component_id")
+    of_class = named.join(ids, "component").select(F.col("node").alias("digest"), "component", "component_id")
     out = rows_.join(of_class, "digest", "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    return out.select("doc_id", "row", "n_shingles", "component", "component_id")

@@ -49,6 +49,18 @@ def scored(docs: DataFrame, score, cut: float) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
+def passing(docs: DataFrame, score, cut: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``cut``, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            s = score([(t or "").encode() for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array([x >= cut for x in s], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def features_of(sampled: DataFrame, extract) -> pd.DataFrame:
     """label and the features (arrays of floats or longs, as bytes) of the sampled rows, read on the executors."""
 

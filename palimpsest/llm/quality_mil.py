@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .labels import features_of, sample, scored
+from .labels import features_of, passing, sample, scored
 
 PASSAGE = 64
 #: At most so many labelled documents are fitted on, and of each at most the first so many passages in the fit only.
@@ -166,3 +166,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: fl
     ignored. Null and empty texts are one empty passage; repeated rows get equal scores; an empty table gives none.
     """
     return scored(docs, train(docs, labels, label, max_docs).score, cut)
+
+
+def keep(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: float = 0.3, max_docs: int = MAX_DOCS) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts (score >= ``cut``), with all their columns."""
+    return passing(docs, train(docs, labels, label, max_docs).score, cut)

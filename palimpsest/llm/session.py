@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,12 @@ def use_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="palimpsest-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or where it is unset and all runs on one machine, a temporary one."""
+    use_checkpoints(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     use_checkpoints(df.sparkSession)
@@ -31,13 +36,3 @@ def cut(df: DataFrame) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Tasks that a keyed exchange should have: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; used to size blocks, never to drop rows."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes().toString()))
-
-
-def local_cores() -> int:
-    return os.cpu_count() or 1
