@@ -16,7 +16,7 @@ from . import kernels as K
 from .labels import features_of, sample, scored
 
 #: At most so many labelled documents are fitted on; at most so many features get a weight.
-MAX_DOCS, MAX_FEATURES = 12000, 4096
+MAX_DOCS, MAX_FEATURES = 8000, 4096
 PREFIXES = (4, 5, 6)
 #: Terms of one line are swapped for each other.
 IDENTITY_TERMS = (
@@ -36,7 +36,7 @@ def _lower(text: bytes) -> bytes:
 
 
 def word_key(word: str, prefix: int = 0) -> int:
-    return int(_features([word.encode()], prefix)[1][0])
+    return int(_features([word.encode()], prefix)[1][0] >> np.uint64(32))
 
 
 def _features(texts: list[bytes], prefix: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +75,15 @@ def distinct_features(texts: list[bytes]) -> list[np.ndarray]:
     keep[1:] = (allown[1:] != allown[:-1]) | (allhash[1:] != allhash[:-1])
     allown, allhash = allown[keep], allhash[keep]
     cuts = np.searchsorted(allown, np.arange(len(texts) + 1))
-    return [allhash[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+    return [_distinct(allhash[i:j] >> np.uint64(32)) for i, j in zip(cuts[:-1], cuts[1:])]
+
+
+def _distinct(sorted_keys: np.ndarray) -> np.ndarray:
+    """The upper halves of hashes are enough for a few thousand weighted features, and halve what the driver reads."""
+    keys = sorted_keys.astype(np.uint32)
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new]
 
 
 def _swaps() -> dict[int, list[np.ndarray]]:
@@ -98,13 +106,13 @@ class Model:
         z = np.full(len(texts), self.bias)
         if len(self.keys) and texts:
             near = np.zeros(1 << 16, dtype=bool)  # most words fail here and are looked up no further
-            near[(self.keys >> np.uint64(48)).astype(np.int64)] = True
+            near[(self.keys >> np.uint32(16)).astype(np.int64)] = True
             own, _, _, found = _words([_lower(t) for t in texts])
             pairs = []
             for mask, h in found.values():
                 o = own[mask]
                 some = near[(h >> np.uint64(48)).astype(np.int64)]
-                o, h = o[some], h[some]
+                o, h = o[some], (h[some] >> np.uint64(32)).astype(np.uint32)
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
                 hit = self.keys[at] == h
                 pairs.append(o[hit] * len(self.keys) + at[hit])
@@ -116,26 +124,35 @@ class Model:
 def fit_bags(bags: list[np.ndarray], y: np.ndarray, penalty: float = 5.0, ridge: float = 0.02, rounds: int = 600, max_features: int = MAX_FEATURES) -> Model:
     """Choose features whose share among toxic texts differs beyond chance, then descend on the penalised log loss."""
     n1, n = float(y.sum()), len(y)
-    none = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
+    none = Model(np.zeros(0, dtype=np.uint32), np.zeros(0), float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
     if not n or n1 in (0, n):
         return none
-    flat, row = np.concatenate(bags), np.repeat(np.arange(n), [len(b) for b in bags])
-    keys, inverse, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    toxic = np.bincount(inverse, weights=y[row], minlength=len(keys))
+    # counts over all features and over those of toxic texts, with one sorted copy at a time in memory
+    flat = np.sort(np.concatenate(bags))
+    head = np.ones(len(flat), dtype=bool)
+    head[1:] = flat[1:] != flat[:-1]
+    keys = flat[head]
+    seen = np.diff(np.append(np.flatnonzero(head), len(flat)))
+    del flat, head
+    toxic = np.zeros(len(keys))
+    for i in np.flatnonzero(y == 1).tolist():
+        toxic[np.searchsorted(keys, bags[i])] += 1
     base = n1 / n
     z = (toxic - seen * base) / np.sqrt(seen * base * (1 - base))
     useful = np.flatnonzero((seen >= 3) & (np.abs(z) >= 4.0) & ((toxic >= 3) | (z < 0)))
     useful = np.sort(useful[np.lexsort((keys[useful], -np.abs(z[useful])))][:max_features])
     swaps = _swaps()
     chosen = keys[useful]
-    place = np.full(len(keys), -1)
-    place[useful] = np.arange(len(useful))
-    col = place[inverse]
-    row, col = row[col >= 0], col[col >= 0]
     if not len(chosen):
         return none
+    hits = []
+    for bag in bags:
+        at = np.minimum(np.searchsorted(chosen, bag), len(chosen) - 1)
+        hits.append(at[chosen[at] == bag])
+    row, col = np.repeat(np.arange(n), [len(h) for h in hits]), np.concatenate(hits)
     # one row of differences for each swap that a labelled text allows, with the number of such texts
-    texts_with = dict(zip(keys.tolist(), seen.tolist()))
+    place = {term: np.searchsorted(keys, np.uint32(term)) for term in swaps}
+    texts_with = {term: int(seen[i]) for term, i in place.items() if i < len(keys) and keys[i] == term}
     index = {k: i for i, k in enumerate(chosen.tolist())}
     diffs, times = [], []
     for term, pairs in swaps.items():
@@ -170,7 +187,7 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray, penalty: float = 5.0, ridge:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int = MAX_DOCS) -> Model:
     """Fit on at most ``max_docs`` labelled rows that are not held out. Without labels every score is 0.5."""
     rows = features_of(sample(docs, labels, label, max_docs), distinct_features)
-    return fit_bags([np.frombuffer(f, dtype=np.uint64) for f in rows["features"]], rows["label"].to_numpy(dtype=np.float64))
+    return fit_bags([np.frombuffer(f, dtype=np.uint32) for f in rows["features"]], rows["label"].to_numpy(dtype=np.float64))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut: float = 0.5, max_docs: int = MAX_DOCS) -> DataFrame:
