@@ -27,6 +27,8 @@ from . import kernels as K
 LENGTH = 50
 #: Text of a block, and text whose anchors share a task's group, in bytes. A longer document is a block of its own size.
 BLOCK_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
+#: Text of a batch that enters the index at once.
+BATCH_BYTES = 16 << 20
 _LAST = (1 << 63) - 1
 _STEP = 1 << 19
 
@@ -40,8 +42,17 @@ class LogIndex:
 
     @staticmethod
     def array(suffixes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A batch's suffix array: distinct suffixes in order, each with its least document."""
-        order = np.argsort(suffixes, kind="stable")
+        """A batch's suffix array: distinct suffixes in order, each with its least document.
+
+        Suffixes are sorted by their first eight bytes as numbers; only those that agree in them are compared as strings.
+        """
+        lead = np.ascontiguousarray(suffixes.view(np.uint8).reshape(len(suffixes), -1)[:, :8]).view(">u8").ravel().astype(np.uint64)
+        order = np.argsort(lead, kind="stable")
+        lead = lead[order]
+        tied = np.zeros(len(order) + 1, dtype=bool)
+        tied[1:-1] = lead[1:] == lead[:-1]
+        tied = np.flatnonzero(tied[1:] | tied[:-1])
+        order[tied] = order[tied][np.argsort(suffixes[order[tied]], kind="stable")]
         suffixes, docs = suffixes[order], docs[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = suffixes[1:] != suffixes[:-1]
@@ -228,41 +239,63 @@ def _windows(strings: bytes, sizes: np.ndarray, length: int) -> tuple[np.ndarray
     return np.ascontiguousarray(view[at]).view(f"S{length}").ravel(), owner
 
 
+def _repeated(strings: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, from, to), sorted: stretches of distinct strings whose suffixes stand in an earlier document."""
+    sizes = np.array([len(s) for s in strings], dtype=np.int64)
+    step = np.cumsum(sizes) // BATCH_BYTES
+    batches = [(int(x[0]), int(x[-1]) + 1) for x in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(step)) + 1) if len(x)]
+    index = LogIndex(length)
+    for i, j in batches:
+        suffixes, owner = _windows(b"".join(strings[i:j]), sizes[i:j], length)
+        index.add(suffixes, least[i:j][owner])
+    found = [np.zeros((3, 0), dtype=np.int64)]
+    for i, j in batches:
+        suffixes, own = _windows(b"".join(strings[i:j]), sizes[i:j], length)
+        at = np.flatnonzero(index.scan(suffixes) < least[i:j][own])
+        if not len(at):
+            continue
+        own = own[at]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(at)) - 1
+        n = sizes[i:j] - length + 1
+        base = np.cumsum(n) - n
+        found.append(np.stack([own[head] + i, at[head] - base[own[head]], at[tail] - base[own[head]] + length]))
+    return tuple(np.concatenate(found, axis=1))
+
+
 def _covered(length: int):
+    """Covered spans of a group's runs. Strings that several blocks have are indexed once, under their least document."""
+
     def work(table: pa.Table) -> pa.Table:
         out = [(b, s) for b, s in zip(table.column("block").to_pylist(), table.column("spans").to_pylist()) if s]
         rows = sorted((r for r in table.drop_columns(["spans"]).to_pylist() if r["strings"]), key=lambda r: r["block"])
-        index = LogIndex(length)
+        number: dict[bytes, int] = {}
         for r in rows:
-            sizes = np.frombuffer(r["sizes"], np.int32)
-            entry, ids = np.frombuffer(r["entry"], np.int32), np.frombuffer(r["id"], np.int64)
-            first = np.searchsorted(entry, np.arange(len(sizes)))
-            suffixes, owner = _windows(r["strings"], sizes, length)
-            index.add(suffixes, ids[first][owner])
+            raw, r["sizes"], r["entry"], r["id"] = r.pop("strings"), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["entry"], np.int32), np.frombuffer(r["id"], np.int64)
+            ends = np.cumsum(r["sizes"], dtype=np.int64).tolist()
+            r["string"] = np.array([number.setdefault(raw[i:j], len(number)) for i, j in zip([0, *ends[:-1]], ends)], dtype=np.int64)
+            r["least"] = r["id"][np.searchsorted(r["entry"], np.arange(len(ends)))]  # of this block's documents with the string
+        least = np.full(len(number), _LAST)
         for r in rows:
-            sizes = np.frombuffer(r["sizes"], np.int32)
-            entry, ids = np.frombuffer(r["entry"], np.int32), np.frombuffer(r["id"], np.int64)
-            first = np.searchsorted(entry, np.arange(len(sizes)))
-            suffixes, owner = _windows(r["strings"], sizes, length)
-            hit = index.scan(suffixes) < ids[first][owner]
-            if not hit.any():
-                continue
-            at = np.flatnonzero(hit)
-            own = owner[at]
-            new = np.ones(len(at), dtype=bool)
-            new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
-            head = np.flatnonzero(new)
-            tail = np.append(head[1:], len(at)) - 1
-            n = sizes.astype(np.int64) - length + 1
-            base = np.cumsum(n) - n
-            s_of, s_from, s_to = own[head], at[head] - base[own[head]], at[tail] - base[own[head]] + length
-            # each covered stretch of a string, at each of its entries
-            lo, hi = np.searchsorted(entry, s_of), np.searchsorted(entry, s_of, side="right")
-            times = hi - lo
-            e = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            which = np.repeat(np.arange(len(s_of)), times)
-            doc, pos = np.frombuffer(r["doc"], np.int32)[e].astype(np.int64), np.frombuffer(r["at"], np.int64)[e]
-            out.append((r["block"], np.stack([doc, pos + s_from[which], pos + s_to[which]]).tobytes()))
+            np.minimum.at(least, r["string"], r["least"])
+        string, begin, end = _repeated(list(number), least, length)
+        del number
+        lo, hi = (np.searchsorted(string, np.arange(len(least)), side=s) for s in ("left", "right"))
+        for r in rows:
+            e = r["entry"]
+            own, doc, pos = r["string"][e], np.frombuffer(r["doc"], np.int32).astype(np.int64), np.frombuffer(r["at"], np.int64)
+            whole = r["least"][e] > least[own]
+            spans = [np.stack([doc[whole], pos[whole], pos[whole] + r["sizes"][e][whole]])]
+            part = np.flatnonzero(~whole & (hi[own] > lo[own]))
+            times = hi[own[part]] - lo[own[part]]
+            each = np.repeat(part, times)
+            which = np.repeat(lo[own[part]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            spans.append(np.stack([doc[each], pos[each] + begin[which], pos[each] + end[which]]))
+            both = np.concatenate(spans, axis=1)
+            if both.shape[1]:
+                out.append((r["block"], both.tobytes()))
         return _table(_names(_SPANS), out)
 
     return work
