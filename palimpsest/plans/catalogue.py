@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import similarity as S
 from palimpsest.functions import text as T
+from palimpsest.lineage import cut
 from palimpsest.operators import clusters as C
 from palimpsest.operators import matches as M
 from palimpsest.operators import preprocess as P
@@ -30,11 +31,11 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    return P.prepare(_docs(spark, sf))
+    return cut(P.prepare(_docs(spark, sf)))
 
 
 def _seeds(spark: SparkSession, sf: str) -> DataFrame:
-    return J.seeds(_prepared(spark, sf))
+    return cut(J.seeds(_prepared(spark, sf)))
 
 
 def _big(*names: str):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import DetectionConfig, read_config
 from palimpsest.functions import similarity, text
+from palimpsest.lineage import cut
 from palimpsest.operators import clusters, matches, preprocess, seeds
 from palimpsest.sources import pages
 
@@ -114,8 +115,8 @@ def test_end_to_end_verbatim_and_paraphrase(spark):
     shared = "The quick brown animal jumps over seven lazy dogs today. Every evening they return home through misty forests."
     texts = [f"Opening remarks differ entirely from others. {shared} Closing thoughts about weather follow.", f"Some unrelated beginning about music theory. {shared} An ending concerning trade."]
     config = DetectionConfig(min_cos_sim=0.3, min_dice_sim=0.33, min_cluster_cos_sim=0.34, min_cluster_char_len=15, min_verbatim_match_char_len=40)
-    own = preprocess.prepare(docs(spark, *texts))
-    found = clusters.resolved(seeds.seeds(own, config.min_cos_sim, config.min_dice_sim), own, config)
+    own = cut(preprocess.prepare(docs(spark, *texts)))
+    found = cut(clusters.resolved(cut(seeds.seeds(own, config.min_cos_sim, config.min_dice_sim)), own, config))
     got = matches.all_matches(found, docs(spark, *texts), config).where("match_type = 0").collect()
     assert len(got) == 1 and texts[0][got[0]["start1"] : got[0]["end1"]] == shared == texts[1][got[0]["start2"] : got[0]["end2"]]
 
