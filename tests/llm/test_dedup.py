@@ -186,15 +186,15 @@ def test_chain_scores_equal_quadratic_dynamic_program():
 def test_planted_fuzzy_passages_are_found_and_nothing_else(spark, block_bytes, group_bytes):
     rng = random.Random(8)
     rows, planted = [], {}
-    passage = [prose(rng, n, 10**6) for n in (60, 90, 200)]
+    passage = [prose(rng, n, 10**6) for n in (60, 90, 200, 150, 120, 60)]
     for i in range(40):
         body = [prose(rng, 80, 10**6), prose(rng, 80, 10**6)]
-        if i % 3 == 0:
-            k = i // 3 % 3
+        if i % 3 == 0 and i < 36:
+            k = i // 3 % 6
             w = passage[k].split(" ")
-            for _ in range(len(w) // 20):  # a word in twenty is replaced, dropped or added
-                p = rng.randrange(len(w))
-                w[p : p + 1] = rng.choice([["other"], [], ["one", "more"]])
+            if i >= 18 and k:  # later copies but one have a word in thirty replaced, dropped or added
+                for p in range(15, len(w), 30):
+                    w[p : p + 1] = rng.choice([["other"], [], ["one", "more"]])
             body.insert(1, " ".join(w))
             planted[i] = (k, len(w))
         rows.append((i, ", ".join(body)))
