@@ -26,9 +26,9 @@ from . import kernels as K
 
 LENGTH = 50
 #: Text of a block, and text whose anchors share a task's group, in bytes. A longer document is a block of its own size.
-BLOCK_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
+BLOCK_BYTES, GROUP_BYTES = 4 << 20, 4 << 20
 #: Text of a batch that enters the index at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
 _LAST = (1 << 63) - 1
 _STEP = 1 << 19
 
