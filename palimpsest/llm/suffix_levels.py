@@ -218,7 +218,7 @@ def _runs(length: int, groups: int):
             entry = np.repeat(np.arange(len(kept)), [len(x) for x in kept]).astype(np.int32)
             runs = np.array([r for x in kept for r in x], dtype=np.int64)
             d = docs_of[runs]
-            rows.append((g, number, b"".join(distinct), np.array([len(s) for s in distinct], np.int32).tobytes(), entry.tobytes(), ids[d].tobytes(), d.astype(np.int32).tobytes(), (lo[runs] - block.starts[d]).tobytes(), None))
+            rows.append((g, number, b"".join(distinct), _pack(np.array([len(s) for s in distinct])), _pack(entry), _pack(ids[d]), _pack(d), _pack(lo[runs] - block.starts[d]), None))
         if whole:
             r = np.array(whole)
             d = docs_of[r]
@@ -228,6 +228,17 @@ def _runs(length: int, groups: int):
     return work
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Differences of neighbours in as few bytes each as hold them all, after a byte that says how many."""
+    steps = np.diff(x.astype(np.int64), prepend=0)
+    kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if not len(steps) or np.iinfo(k).min <= steps.min() and steps.max() <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + steps.astype(kind).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, f"i{raw[0]}", offset=1), dtype=np.int64)
+
+
 def _windows(strings: bytes, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes of the strings that are ``length`` deep, and the string that each stems from."""
     buf = np.frombuffer(strings, dtype=np.uint8)
@@ -273,7 +284,7 @@ def _covered(length: int):
         rows = sorted((r for r in table.drop_columns(["spans"]).to_pylist() if r["strings"]), key=lambda r: r["block"])
         number: dict[bytes, int] = {}
         for r in rows:
-            raw, r["sizes"], r["entry"], r["id"] = r.pop("strings"), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["entry"], np.int32), np.frombuffer(r["id"], np.int64)
+            raw, r["sizes"], r["entry"], r["id"] = r.pop("strings"), _unpack(r["sizes"]), _unpack(r["entry"]), _unpack(r["id"])
             ends = np.cumsum(r["sizes"], dtype=np.int64).tolist()
             r["string"] = np.array([number.setdefault(raw[i:j], len(number)) for i, j in zip([0, *ends[:-1]], ends)], dtype=np.int64)
             r["least"] = r["id"][np.searchsorted(r["entry"], np.arange(len(ends)))]  # of this block's documents with the string
@@ -285,7 +296,7 @@ def _covered(length: int):
         lo, hi = (np.searchsorted(string, np.arange(len(least)), side=s) for s in ("left", "right"))
         for r in rows:
             e = r["entry"]
-            own, doc, pos = r["string"][e], np.frombuffer(r["doc"], np.int32).astype(np.int64), np.frombuffer(r["at"], np.int64)
+            own, doc, pos = r["string"][e], _unpack(r["doc"]), _unpack(r["at"])
             whole = r["least"][e] > least[own]
             spans = [np.stack([doc[whole], pos[whole], pos[whole] + r["sizes"][e][whole]])]
             part = np.flatnonzero(~whole & (hi[own] > lo[own]))
