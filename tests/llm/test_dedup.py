@@ -208,3 +208,14 @@ def test_planted_fuzzy_passages_are_found_and_nothing_else(spark, block_bytes, g
         if any(j < i and planted[j][0] == k for j in planted):
             assert found[i] >= 0.8 * n
     assert passage_chains.passages(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("words,between", [(100, 100), (100, 200), (60, 60), (60, 100)])
+def test_two_exact_passages_with_other_words_between_are_both_found(spark, words, between):
+    rng = random.Random(words + between)
+    head, foot = prose(rng, words, 10**6), prose(rng, words, 10**6)
+    rows = [(i, " ".join([head, prose(rng, between, 10**6), foot])) for i in range(2)]
+    for block_bytes in (1 << 22, 600):
+        got = sorted(map(tuple, passage_chains.passages(frame(spark, rows), block_bytes=block_bytes).collect()))
+        far = words + between
+        assert got == [(1, 0, words, 0, 0, words, words), (1, far, far + words, 0, far, far + words, words)]
