@@ -219,3 +219,12 @@ def test_two_exact_passages_with_other_words_between_are_both_found(spark, words
         got = sorted(map(tuple, passage_chains.passages(frame(spark, rows), block_bytes=block_bytes).collect()))
         far = words + between
         assert got == [(1, 0, words, 0, 0, words, words), (1, far, far + words, 0, far, far + words, words)]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 22, 600])
+def test_every_copy_inside_a_document_is_found(spark, block_bytes):
+    rng = random.Random(9)
+    copy, more = prose(rng, 100, 10**6), [prose(rng, 100, 10**6) for _ in range(4)]
+    rows = [(0, f"{more[0]} {copy}"), (1, f"{copy} {more[1]} {copy} {more[2]}")]
+    got = sorted(map(tuple, passage_chains.passages(frame(spark, rows), block_bytes=block_bytes).collect()))
+    assert got == [(1, 0, 100, 0, 100, 200, 100), (1, 200, 300, 0, 100, 200, 100)]
