@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
@@ -11,10 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TILE = r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+"
-WORD = r"[\p{L}\p{N}]+"
-PIECE = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+#: A token may hold symbols and marks; only one of letters and digits alone is a word.
+TOKEN = r"[\p{L}\p{N}\p{M}\p{S}]+"
+WORD = r"^[\p{L}\p{N}]{2,}$"
 URL = r"(?i)\b(?:https?://|www\.)[^\s<>\"']+"
-POOR = r"¨[aouAOU]|ﬀ|\(cid:\d+\)|[a-zA-Z]{50}"
+#: Fixed value: marks of broken text extraction.
+POOR = r"¨[aou]|ﬀ|\(cid:\d+\)|[a-zA-Z]{50}"
 
 
 def truncate(s: Column, n: int) -> Column:
@@ -28,8 +29,8 @@ def tiles(text: Column) -> Column:
 
 
 def words(sentence: Column) -> Column:
-    """Lower-cased words of two characters or more."""
-    return F.filter(F.regexp_extract_all(F.lower(sentence), F.lit(WORD), F.lit(0)), lambda w: F.length(w) > 1)
+    """Lower-cased words of two characters or more; a token that holds a symbol (as 5€) is none."""
+    return F.filter(F.regexp_extract_all(F.lower(sentence), F.lit(TOKEN), F.lit(0)), lambda w: w.rlike(WORD))
 
 
 def is_poor_extraction(text: Column) -> Column:
@@ -37,11 +38,6 @@ def is_poor_extraction(text: Column) -> Column:
     return (F.trim(text) == "") | text.rlike(POOR)
 
 
-def join_hyphens(text: Column) -> Column:
-    """Words hyphenated at line ends, joined again."""
-    return F.regexp_replace(text, r"-\s?\n", "")
-
-
 def normalise_url(url: Column) -> Column:
     """One trailing punctuation mark and trailing slashes go, doubled ones after the scheme are mended, https is the default scheme."""
     bare = F.regexp_replace(url, r"[.,;:!?)\]}]$", "")
@@ -96,26 +92,10 @@ def split_text(text: str, most: int) -> list[str]:
 
 
 def chunks(most: int):
-    """Pandas UDF: text to its chunks."""
+    """Pandas UDF (a batch of texts a call): text to its chunks."""
 
     @F.pandas_udf("array<string>")
     def split(s: pd.Series) -> pd.Series:
         return s.map(lambda t: [] if t is None else split_text(t, most))
 
     return split
-
-
-def nfc(text: Column) -> Column:
-    """Canonical composition by a Pandas UDF; Spark has no built-in for it."""
-
-    @F.pandas_udf("string")
-    def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-    return compose(text)
-
-
-def ends_alike(text1: Column, end1: Column, text2: Column, end2: Column) -> Column:
-    """Whether a match may take one more character on both sides: equal next characters that are no white space."""
-    a, b = F.substring(text1, end1 + 1, F.lit(1)), F.substring(text2, end2 + 1, F.lit(1))
-    return (end1 < F.length(text1)) & (end2 < F.length(text2)) & (a == b) & ~a.rlike(r"\s")

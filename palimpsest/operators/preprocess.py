@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
@@ -20,30 +21,20 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key")).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs > 1")
 
 
-def tiled(docs: DataFrame) -> DataFrame:
-    """doc_id and ``tiles``, ``lens``, ``w`` (words of each tile)."""
-    return docs.select("doc_id", T.tiles(F.coalesce("text", F.lit(""))).alias("tiles")).withColumn("w", F.transform("tiles", T.words))
-
-
-def _offsets(tiles: Column) -> Column:
-    """Start of each tile: sums of the lengths before it."""
-    add = lambda acc, t: F.struct(F.concat(acc["starts"], F.array(acc["at"])).alias("starts"), (acc["at"] + F.length(t)).alias("at"))
-    return F.aggregate(tiles, F.struct(F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("at")), add, lambda a: a["starts"])
-
-
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, sent_idx, start_char, end_char, words: one row for each sentence with a word, in order.
 
-    The span runs to the last character that is no white space.
+    The span runs to the last character that is no white space. Offsets are running sums of the lengths of all parts;
+    only lengths and words are exchanged.
     """
-    parts = tiled(docs).withColumn("starts", _offsets(F.col("tiles")))
-    rows = parts.select("doc_id", F.explode(F.arrays_zip("tiles", "starts", "w")).alias("x")).where(F.size("x.w") > 0)
-    lead = F.length("x.tiles") - F.length(F.regexp_replace("x.tiles", r"^\s+", ""))
-    body = F.length(F.regexp_replace("x.tiles", r"\s+$", ""))
-    out = rows.select("doc_id", (F.col("x.starts") + lead).alias("start_char"), (F.col("x.starts") + body).alias("end_char"), F.col("x.w").alias("words"))
-    from pyspark.sql import Window
-
-    return out.withColumn("sent_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("start_char")) - 1)
+    parts = docs.select("doc_id", F.posexplode(T.tiles(F.coalesce("text", F.lit("")))).alias("pos", "tile"))
+    lead = F.length("tile") - F.length(F.regexp_replace("tile", r"^\s+", ""))
+    sized = parts.select("doc_id", "pos", F.length("tile").alias("n"), lead.alias("lead"), F.length(F.regexp_replace("tile", r"\s+$", "")).alias("body"), T.words(F.col("tile")).alias("words"))
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    begun = (F.sum("n").over(w) - F.col("n")).cast("int")
+    number = (F.sum(F.when(F.size("words") > 0, 1).otherwise(0)).over(w) - 1).cast("int")
+    placed = sized.withColumn("begun", begun).withColumn("sent_idx", number).where(F.size("words") > 0)
+    return placed.select("doc_id", (F.col("begun") + F.col("lead")).alias("start_char"), (F.col("begun") + F.col("body")).alias("end_char"), "words", "sent_idx")
 
 
 def common_lines(common: DataFrame) -> DataFrame:
@@ -68,6 +59,20 @@ def tag_common(sents: DataFrame, common: DataFrame | None) -> DataFrame:
     return sents.join(hit, ["doc_id", "sent_idx"], "left").withColumn("is_common", F.coalesce("__c", F.lit(False))).drop("__c")
 
 
+def merged_groups(sizes, common, least: int) -> list[int]:
+    """The number of the merged sentence that each sentence goes to: one step for each."""
+    out: list[int] = []
+    group = total = 0
+    for i, n in enumerate(sizes):
+        last = i == len(sizes) - 1
+        if i and not common[i - 1] and not common[i] and (total < least or last and n < least):
+            total += n
+        else:
+            group, total = group + (i > 0), n
+        out.append(int(group))
+    return out
+
+
 def join_small(sents: DataFrame, least: int) -> DataFrame:
     """Neighbouring short sentences merged from left to right; common ones neither merge nor let merge across.
 
@@ -76,16 +81,13 @@ def join_small(sents: DataFrame, least: int) -> DataFrame:
     """
     item = F.struct("start_char", "end_char", "words", "is_common")
     docs = sents.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    sized = F.transform("s", lambda x, i: F.struct(F.size(x["words"]).alias("n"), x["is_common"].alias("c"), (i == F.size("s") - 1).alias("last")))
+    sizes, flags = F.transform("s", lambda x: F.size(x["words"])), F.transform("s", lambda x: x["is_common"])
 
-    def fold(acc, x):
-        first = F.size(acc["g"]) == 0
-        merge = ~first & ~acc["c"] & ~x["c"] & ((acc["n"] < least) | (x["last"] & (x["n"] < least)))
-        group = F.when(first, F.lit(0)).when(merge, acc["at"]).otherwise(acc["at"] + 1)
-        return F.struct(F.concat(acc["g"], F.array(group)).alias("g"), group.alias("at"), F.when(merge, acc["n"] + x["n"]).otherwise(x["n"]).alias("n"), x["c"].alias("c"))
+    @F.pandas_udf("array<int>")
+    def groups(n: pd.Series, common: pd.Series) -> pd.Series:
+        return pd.Series([merged_groups(a, b, least) for a, b in zip(n, common)])
 
-    start = F.struct(F.expr("cast(array() as array<int>)").alias("g"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(False).alias("c"))
-    grouped = docs.select("doc_id", "s", F.aggregate(sized, start, fold, lambda a: a["g"]).alias("g"))
+    grouped = docs.select("doc_id", "s", groups(sizes, flags).alias("g"))
     rows = grouped.select("doc_id", F.posexplode(F.arrays_zip("s", "g")).alias("pos", "x"))
     merged = rows.groupBy("doc_id", F.col("x.g").alias("sent_idx")).agg(F.min("x.s.start_char").alias("start_char"), F.max("x.s.end_char").alias("end_char"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x.s.words").alias("w")))), lambda y: y["w"])).alias("words"), F.max("x.s.is_common").alias("is_common"))
     return merged
@@ -98,8 +100,6 @@ def remove_small(sents: DataFrame, least: int) -> DataFrame:
 
 def prepare(docs: DataFrame, least: int = 3, common: DataFrame | None = None, lang: str | None = None) -> DataFrame:
     """doc_id, sent_idx (among all), sent_pos (among those not common), start_char, end_char, words, lemmas, is_common."""
-    from pyspark.sql import Window
-
     sents = remove_small(join_small(tag_common(sentences(docs), common), least), least)
     w = Window.partitionBy("doc_id").orderBy("start_char")
     own = F.col("words") if lang is None else T.without_stop_words(F.col("words"), F.lit(lang))

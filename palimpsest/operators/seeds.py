@@ -24,17 +24,26 @@ def exclude_known(archive: DataFrame, docs: DataFrame) -> DataFrame:
     return archive.withColumn("__k", key).join(docs.select(key.alias("__k")), "__k", "left_anti").drop("__k")
 
 
+def known(archive: DataFrame, docs: DataFrame) -> DataFrame:
+    """Archive documents whose text a document has."""
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return archive.withColumn("__k", key).join(docs.select(key.alias("__k")), "__k", "left_semi").drop("__k")
+
+
 def dice_pairs(sents: DataFrame, above: float = 0.6) -> DataFrame:
     """(doc1, sent1, doc2, sent2, n_common, n1, n2) of sentences with dice > ``above``, doc1 < doc2.
 
     Sentences with equal sets of lemmas are one group. Groups are joined on a prefix of their rarest lemmas: sets of
     sizes n1, n2 with dice > d share more than d / 2 * (n1 + n2) lemmas, and the jaccard similarity exceeds
-    d / (2 - d), so n - ceil(t * n) + 1 lemmas of each are enough. Lengths and positions cut candidates before the
-    sets are compared. Thresholds are compared as integers of a thousandth.
+    d / (2 - d), so n - ceil(t * n) + 1 lemmas of each are enough. Lengths cut candidates before the sets are
+    compared, and so do positions: at the first lemma that two sets share, what is left of both must be enough.
+    Thresholds are compared as integers of a thousandth. With a column is_archive, sentences of two archive documents
+    don't meet, and the archive document of a pair is doc2.
     """
     d = round(above * 1000)
     t = d / (2000 - d)
-    own = sents.where(~F.col("is_common")).select("doc_id", "sent_idx", F.array_sort(F.array_distinct("lemmas")).alias("set"))
+    archived = F.col("is_archive") if "is_archive" in sents.columns else F.lit(False)
+    own = sents.where(~F.col("is_common")).select(archived.alias("is_archive"), "doc_id", "sent_idx", F.array_sort(F.array_distinct("lemmas")).alias("set"))
     groups = own.groupBy("set").agg(F.min(F.struct("doc_id", "sent_idx")).alias("gid"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("m"))
     tokens = groups.select("gid", F.explode("set").alias("lemma"), "m")
     frequency = tokens.groupBy("lemma").agg(F.sum("m").alias("f"))
@@ -43,22 +52,23 @@ def dice_pairs(sents: DataFrame, above: float = 0.6) -> DataFrame:
     prefix = sized.select("gid", "n", F.posexplode(F.slice("o", 1, F.col("p"))).alias("r", "x")).select("gid", "n", F.col("r").alias("r"), F.col("x.lemma").alias("lemma"))
     a, b = (prefix.select("lemma", *[F.col(c).alias(f"{c}{i}") for c in ("gid", "n", "r")]) for i in (1, 2))
     length = F.least("n1", "n2") >= t * F.greatest("n1", "n2") - 1e-9
-    place = 2000 * (1 + F.least(F.col("n1") - F.col("r1"), F.col("n2") - F.col("r2")) - 1 + F.least("r1", "r2")) > d * (F.col("n1") + F.col("n2"))
+    place = 2000 * F.least(F.col("n1") - F.col("r1"), F.col("n2") - F.col("r2")) > d * (F.col("n1") + F.col("n2"))
     candidates = a.join(b, "lemma").where((F.col("gid1") < F.col("gid2")) & length & place).select("gid1", "gid2").distinct()
     sets = groups.select("gid", "set")
     checked = candidates.join(sets.select(F.col("gid").alias("gid1"), F.col("set").alias("s1")), "gid1").join(sets.select(F.col("gid").alias("gid2"), F.col("set").alias("s2")), "gid2")
     checked = checked.select("gid1", "gid2", F.size(F.array_intersect("s1", "s2")).alias("n_common"), F.size("s1").alias("n1"), F.size("s2").alias("n2")).where(2000 * F.col("n_common") > d * (F.col("n1") + F.col("n2")))
-    members = own.join(groups.select("set", "gid"), "set").select("gid", F.struct("doc_id", "sent_idx").alias("s"), F.size("set").alias("n"))
+    members = own.join(groups.select("set", "gid"), "set").select("gid", F.struct("is_archive", "doc_id", "sent_idx").alias("s"), F.size("set").alias("n"))
     side = lambda i: members.select(F.col("gid").alias(f"gid{i}"), F.col("s").alias(f"s{i}"))
     across = checked.join(side(1), "gid1").join(side(2), "gid2").select("s1", "s2", "n_common", "n1", "n2")
     shared = groups.where("lo < hi").select("gid")
     twins = members.join(shared, "gid")
-    equal = twins.select("gid", F.col("s").alias("s1"), F.col("n").alias("n1")).join(twins.select("gid", F.col("s").alias("s2")), "gid").where("s1.doc_id < s2.doc_id").select("s1", "s2", F.col("n1").alias("n_common"), "n1", F.col("n1").alias("n2"))
+    equal = twins.select("gid", F.col("s").alias("s1"), F.col("n").alias("n1")).join(twins.select("gid", F.col("s").alias("s2")), "gid").where("s1 < s2 and s1.doc_id <> s2.doc_id").select("s1", "s2", F.col("n1").alias("n_common"), "n1", F.col("n1").alias("n2"))
     if d >= 1000:
         equal = equal.where(F.lit(False))
-    swap = F.col("s1.doc_id") > F.col("s2.doc_id")
+    swap = F.col("s1") > F.col("s2")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return across.where("s1.doc_id <> s2.doc_id").unionByName(equal).select(
+    both = across.where("s1.doc_id <> s2.doc_id").unionByName(equal).where("not (s1.is_archive and s2.is_archive)")
+    return both.select(
         pick("s1.doc_id", "s2.doc_id").alias("doc1"), pick("s1.sent_idx", "s2.sent_idx").alias("sent1"), pick("s2.doc_id", "s1.doc_id").alias("doc2"), pick("s2.sent_idx", "s1.sent_idx").alias("sent2"), "n_common", pick("n1", "n2").alias("n1"), pick("n2", "n1").alias("n2")
     )
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest import detection as D
 from palimpsest.functions import similarity as S
 from palimpsest.functions import text as T
 from palimpsest.lineage import cut
@@ -122,21 +123,46 @@ def doc_pairs(spark, sf):
     return J.document_pairs(_items(spark, sf))
 
 
-def archive_pairs(spark, sf):
-    """Items with page texts as the archive: how many archive documents each item meets."""
-    archive = _t(spark, sf, "documents").select("doc_id", "text")
-    known = J.exclude_known(archive, _items(spark, sf)).agg(F.count("*").alias("n_archive"))
-    return _items(spark, sf).select("doc_id").crossJoin(F.broadcast(known))
+def _sides(spark, sf):
+    """Documents with even ids, and those with odd ids as the archive."""
+    docs = _t(spark, sf, "documents")
+    return docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
 
 
 def archive_overlap(spark, sf):
-    first = J.exclude_known(_t(spark, sf, "documents"), _items(spark, sf))
-    return first.select("doc_id")
+    """Archive documents whose text a document has (they are left out of the archive)."""
+    docs, archive = _sides(spark, sf)
+    return J.known(archive, docs).select("doc_id")
+
+
+def archive_rest(spark, sf):
+    docs, archive = _sides(spark, sf)
+    return J.exclude_known(archive, docs).select("doc_id")
+
+
+def archive_pairs(spark, sf):
+    """Pairs of a document and an archive document with their numbers of seeds; archive documents don't meet each other."""
+    both = cut(D.together(*_sides(spark, sf)).select("doc_id", "text", "is_archive"))
+    sents = cut(P.prepare(both).join(both.select("doc_id", "is_archive"), "doc_id"))
+    return J.seeds(sents).join(both.where("is_archive").select(F.col("doc_id").alias("doc2")), "doc2", "left_semi").groupBy("doc1", "doc2").agg(F.count("*").alias("n_seeds"))
 
 
 def incremental_docs(spark, sf):
-    """Documents whose text no cached text (the benchmark's) equals: these are to be prepared."""
-    return P.incremental(_t(spark, sf, "documents").select("doc_id", "text"), _t(spark, sf, "benchmark"))[1].select("doc_id")
+    """Documents to prepare where those of the even ids are cached: the ones whose text no cached one has."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    return P.incremental(docs, docs.where("doc_id % 2 = 0"))[1].select("doc_id")
+
+
+def reused_docs(spark, sf):
+    """Cached documents (those of the even ids) whose text is still there when only the odd ids are left."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    return P.incremental(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"))[0].select("doc_id")
+
+
+def common_cluster_chars(spark, sf):
+    """Lengths of clusters where benchmark lines are common: bounds count all sentences but cut the list without common ones."""
+    sents = cut(P.prepare(_docs(spark, sf), common=_t(spark, sf, "benchmark")))
+    return C.char_lengths(C.bounds(C.sessions(J.seeds(sents), 4)), sents).select(*_big("doc1", "doc2", "c1", "c2", "chars1", "chars2"))
 
 
 def dice_pairs(spark, sf):
@@ -197,12 +223,17 @@ def summary_matches(spark, sf):
     return M.summary(_resolved(spark, sf))
 
 
+def _found(spark, sf):
+    docs, sents = _docs(spark, sf), _prepared(spark, sf)
+    return cut(C.resolved(J.seeds(sents), sents)), sents, docs
+
+
 def verbatim_matches(spark, sf):
-    return M.verbatim(_resolved(spark, sf), _docs(spark, sf))
+    return M.verbatim(*_found(spark, sf))
 
 
 def all_matches(spark, sf):
-    return M.all_matches(_resolved(spark, sf), _docs(spark, sf))
+    return M.all_matches(*_found(spark, sf))
 
 
 def pair_totals(spark, sf):
@@ -226,38 +257,56 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_dedupe, duplicate_groups, sentence_spans, word_counts, stopword_bow, foreign_docs, poor_extraction, truncate_text, detected_language, text_chunks, urls, distinct_urls, page_sources,
-        common_sentences, joined_sentences, vocab_sf, item_similarities, doc_pairs, archive_pairs, archive_overlap, incremental_docs, dice_pairs, seed_pairs, seeds, tfisf_weights,
+        common_sentences, joined_sentences, vocab_sf, item_similarities, doc_pairs, archive_pairs, archive_overlap, archive_rest, incremental_docs, reused_docs, common_cluster_chars, dice_pairs, seed_pairs, seeds, tfisf_weights,
         clusters_gap4, sessionise_doc1, cluster_chars, cluster_cosine, cluster_overlaps, resolved_clusters, intelligent_matches, summary_matches, verbatim_matches, all_matches, pair_totals, pair_reports, word_runs,
     )
 }
 
-_WORDS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1)"
+_WORDS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}\p{{M}}\p{{S}}]+'), lambda w: regexp_matches(w, '^[\p{{L}}\p{{N}}]{{2,}}$'))"
 
 
 def _first(table: str, key: str) -> str:
     return f"select * replace (coalesce(text, '') as text) from {table} where {key} in (select min({key}) from {table} group by coalesce(text, ''))"
 
 
-def _sents(docs: str, least: int = 3) -> str:
-    """CTEs up to p (doc_id, sent_idx, start_char, end_char, words): prepared sentences without common ones."""
+#: Words of each line of the common documents (the benchmark), and the sentences of raw that hold all words of one.
+_HITS = rf"""cw as (select distinct list_sort(list_distinct({_WORDS.format("line")})) as lw from (select unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c]')) as line from benchmark)),
+ cl0 as (select row_number() over () as id, lw, len(lw) as n from cw where len(lw) > 0), ce as (select id, n, unnest(lw) as word from cl0),
+ re as (select doc_id, sent_idx, unnest(list_distinct(w)) as word from raw0),
+ hit as materialized (select distinct doc_id, sent_idx from (select doc_id, sent_idx, id from re join ce using (word) group by doc_id, sent_idx, id, n having count(*) = n))"""
+
+
+def _sents(docs: str, least: int = 3, common: bool = False) -> str:
+    """CTEs up to p (doc_id, sent_idx, sent_pos, start_char, end_char, words): prepared sentences that aren't common; pall has all."""
+    merge = f"not f.c and not r.c and (f.n < {least} or r.sent_idx = r.total - 1 and len(r.w) < {least})"
+    hits = _HITS if common else "hit as (select doc_id, sent_idx from raw0 where false)"
     return rf"""with recursive d as materialized ({docs}),
 x as (select doc_id, unnest(t) as tile, generate_subscripts(t, 1) as i from (select doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+') as t from d)),
 o as (select *, sum(length(tile)) over (partition by doc_id order by i) - length(tile) as begun, {_WORDS.format("tile")} as w from x),
-raw as materialized (select doc_id, row_number() over (partition by doc_id order by i) - 1 as sent_idx, begun + length(tile) - length(regexp_replace(tile, '^\s+', '')) as start_char,
+raw0 as materialized (select doc_id, row_number() over (partition by doc_id order by i) - 1 as sent_idx, begun + length(tile) - length(regexp_replace(tile, '^\s+', '')) as start_char,
   begun + length(regexp_replace(tile, '\s+$', '')) as end_char, w, count(*) over (partition by doc_id) as total from o where len(w) > 0),
-fold as (select doc_id, sent_idx, 0::bigint as g, len(w) as n from raw where sent_idx = 0
-  union all select r.doc_id, r.sent_idx, case when f.n < {least} or r.sent_idx = r.total - 1 and len(r.w) < {least} then f.g else f.g + 1 end,
-  case when f.n < {least} or r.sent_idx = r.total - 1 and len(r.w) < {least} then f.n + len(r.w) else len(r.w) end from fold f join raw r on r.doc_id = f.doc_id and r.sent_idx = f.sent_idx + 1),
-joined as (select r.doc_id, f.g, min(r.start_char) as start_char, max(r.end_char) as end_char, flatten(list(r.w order by r.sent_idx)) as words from fold f join raw r using (doc_id, sent_idx) group by 1, 2),
-p as materialized (select doc_id, row_number() over (partition by doc_id order by start_char) - 1 as sent_idx, start_char, end_char, words from joined where len(words) >= {least})"""
+{hits},
+raw as materialized (select raw0.*, hit.doc_id is not null as c from raw0 left join hit using (doc_id, sent_idx)),
+fold as (select doc_id, sent_idx, 0::bigint as g, len(w) as n, c from raw where sent_idx = 0
+  union all select r.doc_id, r.sent_idx, case when {merge} then f.g else f.g + 1 end, case when {merge} then f.n + len(r.w) else len(r.w) end, r.c from fold f join raw r on r.doc_id = f.doc_id and r.sent_idx = f.sent_idx + 1),
+joined as (select r.doc_id, f.g, min(r.start_char) as start_char, max(r.end_char) as end_char, flatten(list(r.w order by r.sent_idx)) as words, bool_or(r.c) as c from fold f join raw r using (doc_id, sent_idx) group by 1, 2),
+pall as materialized (select doc_id, row_number() over (partition by doc_id order by start_char) - 1 as sent_idx, start_char, end_char, words, c from joined where c or len(words) >= {least}),
+p as materialized (select doc_id, sent_idx, row_number() over (partition by doc_id order by start_char) - 1 as sent_pos, start_char, end_char, words from pall where not c)"""
 
 
 _DOCS = _first("documents", "doc_id")
 _ITEMS = _first("(select item_id as doc_id, text from benchmark)", "doc_id")
+_ARCHIVE = """select doc_id, coalesce(text, '') as text from documents where doc_id in (select min(doc_id) from documents where doc_id % 2 = 0 group by coalesce(text, ''))
+  or doc_id in (select min(doc_id) from documents where doc_id % 2 = 1 and coalesce(text, '') not in (select coalesce(text, '') from documents where doc_id % 2 = 0) group by coalesce(text, ''))"""
 _BASE = _sents(_DOCS)
-_SEEDS = (
-    _BASE
-    + """,
+
+
+def _seeds_of(sents: str, pairs: str = "a.doc_id < b.doc_id") -> str:
+    return sents + _SEEDS_TAIL.replace("a.doc_id < b.doc_id", pairs)
+
+
+_SEEDS_TAIL = (
+    """,
 e as materialized (select doc_id, sent_idx, lemma, count(*) as tf from (select doc_id, sent_idx, unnest(words) as lemma from p) group by all),
 l as (select doc_id, sent_idx, count(*) as n from e group by all),
 v as materialized (select doc_id, lemma, count(*) as sf from e group by all),
@@ -274,15 +323,18 @@ dot as (select d.doc1, d.doc2, d.sent1, d.sent2, sum(w1.w * w2.w) as x from dice
 seeds as materialized (select doc1, doc2, sent1, sent2, x / (n1.m * n2.m) as cos, 2.0 * n_common / (dice.n1 + dice.n2) as dice from dice join dot using (doc1, doc2, sent1, sent2) join n1 using (doc1, doc2, sent1) join n2 using (doc1, doc2, sent2)
   where n1.m * n2.m > 0 and x / (n1.m * n2.m) > 0.6)"""
 )
-_CLUSTERS = (
-    _SEEDS
-    + """,
+_SEEDS = _seeds_of(_BASE)
+_CLUSTERS_TAIL = (
+    """,
 j1 as (select *, case when sent1 - lag(sent1) over (partition by doc1, doc2 order by sent1, sent2) - 1 > 4 then 1 else 0 end as j from seeds),
 k1 as (select doc1, doc2, sent1, sent2, sum(j) over (partition by doc1, doc2 order by sent1, sent2) as c1 from j1),
 j2 as (select *, case when sent2 - lag(sent2) over (partition by doc1, doc2, c1 order by sent2, sent1) - 1 > 4 then 1 else 0 end as j from k1),
 k2 as (select doc1, doc2, c1, sent1, sent2, sum(j) over (partition by doc1, doc2, c1 order by sent2, sent1) as c2 from j2),
 cl as materialized (select doc1, doc2, c1::bigint as c1, c2::bigint as c2, count(*) as n_seeds, min(sent1) as lo1, max(sent1) as hi1, min(sent2) as lo2, max(sent2) as hi2 from k2 group by 1, 2, 3, 4)"""
 )
+_CLUSTERS = _SEEDS + _CLUSTERS_TAIL
+_CHARS = """ select doc1, doc2, c1, c2, chars1, chars2 from (select cl.doc1, cl.doc2, cl.c1, cl.c2, sum(p.end_char - p.start_char)::bigint as chars1 from cl join p on p.doc_id = cl.doc1 and p.sent_pos between lo1 and hi1 group by all)
+ join (select cl.doc1, cl.doc2, cl.c1, cl.c2, sum(p.end_char - p.start_char)::bigint as chars2 from cl join p on p.doc_id = cl.doc2 and p.sent_pos between lo2 and hi2 group by all) using (doc1, doc2, c1, c2)"""
 
 
 def _vector(i: int) -> str:
@@ -329,16 +381,12 @@ _STATIC_SQL = {
     "sentence_spans": _BASE + " select doc_id, sent_idx, start_char::bigint as start_char, end_char::bigint as end_char, len(w) as n_words from raw",
     "word_counts": f"select word, count(*) as n from (select unnest({_WORDS.format('text')}) as word from ({_DOCS})) group by 1",
     "foreign_docs": "select doc_id, lang from documents where lang is distinct from 'en'",
-    "poor_extraction": r"select doc_id, trim(coalesce(text, ''), ' ') = '' or regexp_matches(coalesce(text, ''), '¨[aouAOU]|ﬀ|\(cid:\d+\)|[a-zA-Z]{50}') as poor from documents",
+    "poor_extraction": r"select doc_id, trim(coalesce(text, ''), ' ') = '' or regexp_matches(coalesce(text, ''), '¨[aou]|ﬀ|\(cid:\d+\)|[a-zA-Z]{50}') as poor from documents",
     "truncate_text": "select doc_id, case when length(text) < 40 then text else left(text, 40) || '...' end as short from documents",
     "urls": f"select page_id, {_url_sql('url')} as url from pages",
     "distinct_urls": rf"""select distinct {_url_sql('u')} as url from (select unnest(regexp_extract_all(concat_ws(' ', url, html), '(?i)\b(?:https?://|www\.)[^\s<>"'']+')) as u from pages)""",
     "page_sources": f"with t as (select page_id, {_NAME} as name, {_TEXT} as text from pages where html is not null) select page_id, name, length(text) as n_chars, sha256(text) as text_key from t where length(text) >= 2000 and page_id in (select min(page_id) from t where length(text) >= 2000 group by text)",
-    "common_sentences": _BASE + rf""", cw as (select distinct list_sort(list_distinct({_WORDS.format("line")})) as lw from (select unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c]')) as line from benchmark)),
- cl as (select row_number() over () as id, lw, len(lw) as n from cw where len(lw) > 0), ce as (select id, n, unnest(lw) as word from cl),
- re as (select doc_id, sent_idx, unnest(list_distinct(w)) as word from raw),
- hit as (select distinct doc_id, sent_idx from (select doc_id, sent_idx, id from re join ce using (word) group by doc_id, sent_idx, id, n having count(*) = n))
- select doc_id, sent_idx, start_char::bigint as start_char, end_char::bigint as end_char from raw join hit using (doc_id, sent_idx)""",
+    "common_sentences": _sents(_DOCS, common=True) + " select doc_id, sent_idx, start_char::bigint as start_char, end_char::bigint as end_char from raw where c",
     "joined_sentences": _BASE + " select doc_id, start_char::bigint as start_char, end_char::bigint as end_char, len(words) as n_words from p",
     "vocab_sf": _BASE + " select doc_id, lemma, count(*) as sf from (select doc_id, unnest(list_distinct(words)) as lemma from p) group by all",
     "item_similarities": _sents(_ITEMS, 1) + """, b as (select doc_id, lemma, count(*)::double as w from (select doc_id, unnest(words) as lemma from p) group by all),
@@ -346,17 +394,19 @@ _STATIC_SQL = {
  select a.doc_id as doc1, c.doc_id as doc2, round(sum(a.w * c.w) / (any_value(x.m) * any_value(y.m)), 4) as cos, round(2.0 * count(*) / (any_value(x.k) + any_value(y.k)), 4) as dice
  from b a join b c on a.lemma = c.lemma and a.doc_id < c.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = c.doc_id group by 1, 2""",
     "doc_pairs": f"with i as ({_ITEMS}) select a.doc_id as doc1, b.doc_id as doc2 from i a join i b on a.doc_id < b.doc_id",
-    "archive_pairs": f"with i as ({_ITEMS}) select doc_id, (select count(*) from documents where coalesce(text, '') not in (select text from i)) as n_archive from i",
-    "archive_overlap": f"with i as ({_ITEMS}) select doc_id from documents where coalesce(text, '') not in (select text from i)",
-    "incremental_docs": "select doc_id from documents where coalesce(text, '') not in (select coalesce(text, '') from benchmark)",
+    "archive_pairs": _seeds_of(_sents(_ARCHIVE), "a.doc_id % 2 = 0 and b.doc_id % 2 = 1") + " select doc1, doc2, count(*) as n_seeds from seeds group by 1, 2",
+    "archive_overlap": "select doc_id from documents where doc_id % 2 = 1 and coalesce(text, '') in (select coalesce(text, '') from documents where doc_id % 2 = 0)",
+    "archive_rest": "select doc_id from documents where doc_id % 2 = 1 and coalesce(text, '') not in (select coalesce(text, '') from documents where doc_id % 2 = 0)",
+    "incremental_docs": "select doc_id from documents where coalesce(text, '') not in (select coalesce(text, '') from documents where doc_id % 2 = 0)",
+    "reused_docs": "select doc_id from documents where doc_id % 2 = 0 and coalesce(text, '') in (select coalesce(text, '') from documents where doc_id % 2 = 1)",
     "dice_pairs": _SEEDS + " select doc1, sent1, doc2, sent2, n_common, n1, n2 from dice",
     "seed_pairs": _SEEDS + " select doc1, doc2, count(*) as n_seeds, round(max(cos), 4) as max_cos from seeds group by 1, 2",
     "seeds": _SEEDS + " select doc1, doc2, sent1, sent2, round(cos, 4) as cos, round(dice, 4) as dice from seeds",
     "tfisf_weights": _SEEDS + " select doc1, doc2, sent1 as sent, lemma, round(w, 4) as w from w1",
     "clusters_gap4": _CLUSTERS + " select * from cl",
     "sessionise_doc1": _CLUSTERS + " select doc1, doc2, c1::bigint as c1, count(*) as n_seeds, min(sent1) as lo1, max(sent1) as hi1 from k1 group by 1, 2, 3",
-    "cluster_chars": _CLUSTERS + """ select doc1, doc2, c1, c2, chars1, chars2 from (select cl.doc1, cl.doc2, cl.c1, cl.c2, sum(p.end_char - p.start_char)::bigint as chars1 from cl join p on p.doc_id = cl.doc1 and p.sent_idx between lo1 and hi1 group by all)
- join (select cl.doc1, cl.doc2, cl.c1, cl.c2, sum(p.end_char - p.start_char)::bigint as chars2 from cl join p on p.doc_id = cl.doc2 and p.sent_idx between lo2 and hi2 group by all) using (doc1, doc2, c1, c2)""",
+    "cluster_chars": _CLUSTERS + _CHARS,
+    "common_cluster_chars": _seeds_of(_sents(_DOCS, common=True)) + _CLUSTERS_TAIL + _CHARS,
     "cluster_cosine": _CLUSTERS + f""", v1 as ({_vector(1)}), v2 as ({_vector(2)}),
  f as (select coalesce(v1.doc1, v2.doc1) as doc1, coalesce(v1.doc2, v2.doc2) as doc2, coalesce(v1.c1, v2.c1) as c1, coalesce(v1.c2, v2.c2) as c2, coalesce(v1.w, 0) as x, coalesce(v2.w, 0) as y from v1 full join v2 on v1.doc1 = v2.doc1 and v1.doc2 = v2.doc2 and v1.c1 = v2.c1 and v1.c2 = v2.c2 and v1.lemma = v2.lemma)
  select doc1, doc2, c1, c2, round(case when sqrt(sum(x * x)) * sqrt(sum(y * y)) > 0 then sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) else 0 end, 4) as cos from f group by all""",
