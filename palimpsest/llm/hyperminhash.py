@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import components
+from .components import components, first_id, named_by
 from .session import cut
-from .streams import by_group
+from .streams import by_group, slices
 
 BUCKETS, MANTISSA = 128, 10
-#: Candidate components above this size are compared chunk by chunk in tasks of their own.
-CHUNK = 1024
+#: Candidate components with more documents or shingles are compared chunk by chunk in tasks of their own.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 19
 #: Pairs whose estimate is this many standard deviations below the threshold are not compared in full.
 SIGMAS = 6.0
 _PROBE = np.argsort(np.random.default_rng(11).random((BUCKETS, BUCKETS)), axis=1)
@@ -35,8 +35,7 @@ def lower(text: str | None) -> bytes:
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's k-word shingles (fewer words: the sequence; none: empty)."""
-    own, _, _, words = K.word_hashes(texts, K.WHITE)
-    cuts = np.searchsorted(own, np.arange(len(texts) + 1))
+    cuts, words = K.only_hashes(texts, K.WHITE)
     return [np.unique(K.shingle_hashes(words[i:j], k)) for i, j in zip(cuts[:-1], cuts[1:])]
 
 
@@ -89,7 +88,7 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, digest of the whole set (null for an empty one), bands: one row for each row of ``docs``."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text")):
             n, digests, keys = [], [], []
             for s in shingle_sets([lower(t) for t in b.column("text").to_pylist()], k):
                 n.append(len(s))
@@ -161,10 +160,11 @@ class _Group:
 def links(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b): a spanning forest of the confirmed links within each candidate component.
 
-    ``members``: (node, component); ``texts``: (node, text). A component over CHUNK nodes
-    is dealt into chunks, each pair of chunks to its own task; every pair is still decided.
+    ``members``: (node, component, n_shingles); ``texts``: (node, text). A component over CHUNK nodes or CHUNK_SHINGLES
+    shingles is dealt into chunks, each pair of chunks to its own task; every pair is still decided.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("m")).withColumn("k", F.ceil(F.col("m") / CHUNK).cast("int"))
+    size = F.greatest(F.count("*") / CHUNK, F.sum("n_shingles") / CHUNK_SHINGLES)
+    sizes = cut(members.groupBy("component").agg(F.ceil(size).cast("int").alias("k")))
     dealt = members.join(sizes, "component").withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     dealt = dealt.select("node", "c", "component", F.explode(F.expr("sequence(0, k - 1)")).alias("o"))
     key = F.concat("component", F.least("c", "o").cast("string").cast("binary"), F.lit("-").cast("binary"), F.greatest("c", "o").cast("string").cast("binary"))
@@ -204,10 +204,10 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     Rows whose texts have no words stay. Of repeated rows one stays; where an id repeats with other texts, the row
     with the least hash. All columns are returned.
     """
-    rows = _resolved(docs, k, num, den).where("component is not null")
-    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
-    first = rows.groupBy("component").agg(F.min(order).alias("w"))
-    loses = rows.join(first, "component").where(~(order.eqNullSafe(F.col("w"))))
+    rows = cut(_resolved(docs, k, num, den).where("component is not null"))
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ties = rows.where(least).groupBy("component").agg(F.min("row").alias("w"), F.max("row").alias("x")).where("w < x")
+    loses = rows.where(~least).select("doc_id", "row").union(rows.where(least).join(ties, "component").where("row <> w").select("doc_id", "row"))
     loses = loses.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r")).distinct()
     again = rows.groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"))
     row = F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), F.col("text").cast("string"))
@@ -224,18 +224,18 @@ def _resolved(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, row, n_shingles, component (null for empty sets), component_id."""
     bands, rows = layout(num / den)
     rows_ = cut(sketch(docs, k, bands, rows))
-    classes = rows_.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("bands").alias("bands"))
-    classes = cut(classes)
-    banded = classes.select(F.col("digest").alias("node"), F.explode("bands").alias("band"))
-    first = banded.groupBy("band").agg(F.min("node").alias("rep"), F.count("*").alias("m")).where("m > 1").select("band", "rep")
+    classes = rows_.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("node", named_by("least", "digest")))
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    # written first, so that the join with it is free to split a hot band
+    first = cut(banded.groupBy("band").agg(F.min("node").alias("rep"), F.count("*").alias("m")).where("m > 1").select("band", "rep"))
     star = banded.join(first, "band").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    candidates = components(star)
     # one text for each node that has company; equal sets give equal results whichever text stands for them
-    wanted = candidates.join(classes.select(F.col("digest").alias("node"), "row"), "node")
-    texts = _keyed(docs).select("row", "text").join(wanted.select("node", "row"), "row").select("node", "text")
-    confirmed = components(links(candidates, texts, k, num, den))
-    named = classes.select(F.col("digest").alias("node"), "least").join(confirmed, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(ids, "component").select(F.col("node").alias("digest"), "component", "component_id")
+    candidates = components(star).join(classes.select("node", "row", "n_shingles"), "node")
+    texts = _keyed(docs).select("row", "text").join(candidates.select("node", "row"), "row").select("node", "text")
+    confirmed = components(links(candidates.select("node", "component", "n_shingles"), texts, k, num, den))
+    # a component is called by its least node, and that node by the least id: no join by component is needed
+    named = classes.select("digest", "node").join(confirmed, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    of_class = named.withColumn("component_id", first_id("component"))
     out = rows_.join(of_class, "digest", "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "row", "n_shingles", "component", "component_id")

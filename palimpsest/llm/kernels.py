@@ -115,6 +115,24 @@ def cut_at(text: bytes, separators: np.ndarray, most: int = PIECE):
     yield at, text[at:]
 
 
+def only_hashes(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cuts, hashes): the hashes of all words in order; text i has hashes[cuts[i]:cuts[i + 1]]. Places are not kept."""
+    counts, hashes = np.zeros(len(texts) + 1, dtype=np.int64), []
+    for a, b, some in batches(texts):
+        if b - a == 1 and len(some[0]) > PIECE:
+            for _, piece in cut_at(some[0], separators):
+                buf = np.frombuffer(piece, dtype=np.uint8)
+                s, e = bounds(buf, separators)
+                hashes.append(mix(span_hashes(prefix_sums(buf), s, e)))
+                counts[a + 1] += len(s)
+            continue
+        batch = Batch(some)
+        s, e = bounds(batch.buf, separators)
+        hashes.append(mix(span_hashes(prefix_sums(batch.buf), s, e)))
+        counts[a + 1 : b + 1] = np.bincount(batch.owner(s), minlength=b - a)
+    return np.cumsum(counts), np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+
+
 def word_hashes(texts: list[bytes], separators: np.ndarray):
     """(owner, start, end, hash) of every word of all texts, in order; starts are offsets in the own text."""
     owners, starts, ends, hashes = [], [], [], []

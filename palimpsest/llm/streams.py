@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .session import width
 
+#: Text that a worker turns into arrays at once, in bytes; a longer text is a slice of its own.
+SLICE = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int | str, most: int = SLICE):
+    """Consecutive parts of a batch with at most ``most`` bytes of a string or binary column each, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        done = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
 
 def groups(batches, key: str):
     """Tables of equal ``key`` from Arrow batches sorted by it; a group may span batches."""
