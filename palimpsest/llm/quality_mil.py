@@ -10,14 +10,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .labels import features_of, passing, sample, scored
+from .labels import passing, sample, scored
+from .streams import slices
 
 PASSAGE = 64
-#: At most so many labelled documents are fitted on, and of each at most the first so many passages in the fit only.
-MAX_DOCS, MAX_PASSAGES = 6000, 64
+#: At most so many labelled documents are fitted on (and labels.MAX_BYTES of their text), each with all its passages.
+MAX_DOCS = 6000
+#: Steps of the descent, whatever the number of documents.
+STEPS, SIZE = 2400, 64
 
 _CLASSES = {" \t": 0, "\n\r\x0b\x0c": 1, "abcdefghijklmnopqrstuvwxyz": 2, "ABCDEFGHIJKLMNOPQRSTUVWXYZ": 3, "0123456789": 4, ".,;:": 5, "!?": 6, "%#*&$@": 7, "|<>=_~^+/\\": 8, "'\"()[]{}-`": 9}
 _CLASS = np.full(256, 11, dtype=np.uint8)
@@ -113,7 +117,7 @@ def _forward(p, x, bag, n):
     return pooled @ p["c"] + p["d"], h, t, g, w, pooled
 
 
-def fit_bags(bags: list[np.ndarray], y: np.ndarray, hidden: int = 12, gate: int = 8, epochs: int = 25, size: int = 64, rate: float = 0.01, decay: float = 1e-4) -> Model:
+def fit_bags(bags: list[np.ndarray], y: np.ndarray, hidden: int = 12, gate: int = 8, steps: int = STEPS, size: int = SIZE, rate: float = 0.01, decay: float = 1e-4) -> Model:
     """Adam on the log loss of the pooled representation; deterministic."""
     rng = np.random.default_rng(7)
     allx = np.vstack(bags) if bags else np.zeros((1, N_FEATURES))
@@ -125,10 +129,9 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray, hidden: int = 12, gate: int
         p["d"][0] = np.log(rate_y / (1 - rate_y))
         return Model(mean, scale, p)
     m1, m2, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    epochs = max(epochs, min(400, 60_000 // max(1, len(bags))))  # small samples need more passes
-    for epoch in range(epochs):
+    while step < steps:
+        now = rate * (0.5 * (1 + np.cos(np.pi * step / steps)) + 0.02)
         order = rng.permutation(len(bags))
-        now = rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.02)
         for at in range(0, len(order), size):
             pick = order[at : at + size]
             x = (np.vstack([bags[i] for i in pick]) - mean) / scale
@@ -154,8 +157,14 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray, hidden: int = 12, gate: int
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = MAX_DOCS) -> Model:
     """Fit on at most ``max_docs`` labelled rows that are not held out. Without labels the score is 0.5 everywhere."""
-    rows = features_of(sample(docs, labels, label, max_docs), passages)
-    bags = [np.frombuffer(f, dtype=np.float32).reshape(-1, N_FEATURES)[:MAX_PASSAGES].astype(np.float64) for f in rows["features"]]
+    def run(batches):
+        for b in (part for whole in batches for part in slices(whole, "text")):
+            found = passages([t.encode() for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "label", "features"])
+
+    # about a quarter of the sampled text in size
+    rows = sample(docs, labels, label, max_docs).mapInArrow(run, "doc_id bigint, label int, features binary").toPandas().sort_values("doc_id", ignore_index=True)
+    bags = [np.frombuffer(f, dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64) for f in rows["features"]]
     return fit_bags(bags, rows["label"].to_numpy(dtype=np.float64))
 
 

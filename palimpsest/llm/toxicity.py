@@ -1,22 +1,30 @@
 """Toxicity as a sparse linear model with a counterfactual penalty.
 
 Features are the distinct words of a text and the distinct first 4, 5 and 6 bytes of its words. Labelled
-sentences that name a group are copied with the group's term swapped for each other one; the squared change of
-the score is added to the log loss, so that naming a group by itself moves no score.
+sentences that name a group are copied with the group's term swapped for each other one of its line; the squared
+difference of the two sentences' scores is added to the log loss, so that naming a group by itself moves no score.
+Features are counted and sentences are swapped on the executors.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernels as K
-from .labels import features_of, sample, scored
-
-#: At most so many labelled documents are fitted on; at most so many features get a weight.
-MAX_DOCS, MAX_FEATURES = 8000, 4096
+from .labels import sample, scored
+from .session import cut
+from .streams import slices
+
+#: At most so many labelled documents are fitted on (and labels.MAX_BYTES of their text).
+MAX_DOCS = 8000
+#: A feature gets a weight where so many texts have it and its share of toxic ones is so many deviations from the mean.
+SEEN, DEVIATIONS = 3, 4.0
 PREFIXES = (4, 5, 6)
 #: Terms of one line are swapped for each other.
 IDENTITY_TERMS = (
@@ -35,15 +43,6 @@ def _lower(text: bytes) -> bytes:
     return text.decode("utf-8", "replace").lower().encode()
 
 
-def word_key(word: str, prefix: int = 0) -> int:
-    return int(_features([word.encode()], prefix)[1][0] >> np.uint64(32))
-
-
-def _features(texts: list[bytes], prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    own, s, e, h = _words(texts)
-    return own, h[prefix][1]
-
-
 def _words(texts: list[bytes]):
     """(owner, starts, ends, {0: (mask, hash of the word), p: (mask, hash of the first p bytes)})"""
     owners, found = [], {p: ([], []) for p in (0, *PREFIXES)}
@@ -86,13 +85,38 @@ def _distinct(sorted_keys: np.ndarray) -> np.ndarray:
     return keys[new]
 
 
-def _swaps() -> dict[int, list[np.ndarray]]:
-    """For each term's word hash: what a swap takes away and adds, as (features of the term, of the other)."""
-    out: dict[int, list] = {}
-    for line in IDENTITY_TERMS:
-        terms = [(w, distinct_features([w.encode()])[0]) for w in line.split()]
-        for w, f in terms:
-            out[word_key(w)] = [(f, g) for v, g in terms if v != w]
+_LINE_OF = {w: line.split() for line in IDENTITY_TERMS for w in line.split()}
+_TERM = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(_LINE_OF, key=lambda w: (-len(w), w))) + r")(?![^\W_])")
+_SENTENCE_END = re.compile(r"[.!?\n]+")
+
+
+def swapped(text: str) -> list[tuple[str, str, float]]:
+    """(sentence, the same with a term swapped, weight) for each sentence that names a group, term and other term.
+
+    The swaps of one term weigh 1 together, so a line with many terms counts no more than one with few.
+    """
+    out = []
+    text = text.lower()
+    if not _TERM.search(text):
+        return out
+    for sentence in _SENTENCE_END.split(text):
+        for term in sorted(set(_TERM.findall(sentence))):
+            others = [w for w in _LINE_OF[term] if w != term]
+            for other in others:
+                out.append((sentence, _TERM.sub(lambda m: other if m.group() == term else m.group(), sentence), 1 / len(others)))  # noqa: B023
+    return out
+
+
+def differences(text: str, chosen: np.ndarray) -> list[tuple[bytes, bytes, float]]:
+    """(weighted features that a swap takes away, those that it adds, weight) of each swap that changes any."""
+    out = []
+    swaps = swapped(text)
+    bags = distinct_features([x.encode() for a, b, _ in swaps for x in (a, b)])
+    for k, (_, _, weight) in enumerate(swaps):
+        gone, come = np.setdiff1d(bags[2 * k], bags[2 * k + 1]), np.setdiff1d(bags[2 * k + 1], bags[2 * k])
+        gone, come = (np.flatnonzero(np.isin(chosen, x)).astype(np.int32) for x in (gone, come))
+        if len(gone) or len(come):
+            out.append((gone.tobytes(), come.tobytes(), weight))
     return out
 
 
@@ -121,62 +145,37 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
 
 
-def fit_bags(bags: list[np.ndarray], y: np.ndarray, penalty: float = 5.0, ridge: float = 0.02, rounds: int = 600, max_features: int = MAX_FEATURES) -> Model:
-    """Choose features whose share among toxic texts differs beyond chance, then descend on the penalised log loss."""
-    n1, n = float(y.sum()), len(y)
-    none = Model(np.zeros(0, dtype=np.uint32), np.zeros(0), float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
-    if not n or n1 in (0, n):
-        return none
-    # counts over all features and over those of toxic texts, with one sorted copy at a time in memory
-    flat = np.sort(np.concatenate(bags))
-    head = np.ones(len(flat), dtype=bool)
-    head[1:] = flat[1:] != flat[:-1]
-    keys = flat[head]
-    seen = np.diff(np.append(np.flatnonzero(head), len(flat)))
-    del flat, head
-    toxic = np.zeros(len(keys))
-    for i in np.flatnonzero(y == 1).tolist():
-        toxic[np.searchsorted(keys, bags[i])] += 1
+def useful(n: int, n1: int, keys: np.ndarray, seen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The sorted features to weigh: their share among toxic texts differs beyond chance."""
     base = n1 / n
     z = (toxic - seen * base) / np.sqrt(seen * base * (1 - base))
-    useful = np.flatnonzero((seen >= 3) & (np.abs(z) >= 4.0) & ((toxic >= 3) | (z < 0)))
-    useful = np.sort(useful[np.lexsort((keys[useful], -np.abs(z[useful])))][:max_features])
-    swaps = _swaps()
-    chosen = keys[useful]
-    if not len(chosen):
-        return none
-    hits = []
-    for bag in bags:
-        at = np.minimum(np.searchsorted(chosen, bag), len(chosen) - 1)
-        hits.append(at[chosen[at] == bag])
-    row, col = np.repeat(np.arange(n), [len(h) for h in hits]), np.concatenate(hits)
-    # one row of differences for each swap that a labelled text allows, with the number of such texts
-    place = {term: np.searchsorted(keys, np.uint32(term)) for term in swaps}
-    texts_with = {term: int(seen[i]) for term, i in place.items() if i < len(keys) and keys[i] == term}
-    index = {k: i for i, k in enumerate(chosen.tolist())}
-    diffs, times = [], []
-    for term, pairs in swaps.items():
-        if count := texts_with.get(term, 0):
-            for gone, come in pairs:
-                d = np.zeros(len(chosen))
-                for f in gone.tolist():
-                    if f in index:
-                        d[index[f]] -= 1
-                for f in come.tolist():
-                    if f in index:
-                        d[index[f]] += 1
-                if d.any():
-                    diffs.append(d)
-                    times.append(count / len(pairs))
-    D = np.array(diffs) if diffs else np.zeros((0, len(chosen)))
-    T = np.array(times)
-    w, b = np.zeros(len(chosen)), none.bias
-    m1, m2 = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    return np.sort(keys[(seen >= SEEN) & (np.abs(z) >= DEVIATIONS) & ((toxic >= SEEN) | (z < 0))])
+
+
+def constant(n: int, n1: float) -> Model:
+    return Model(np.zeros(0, dtype=np.uint32), np.zeros(0), float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
+
+
+def fit(chosen: np.ndarray, hits: list[np.ndarray], y: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray, float]], penalty: float = 5.0, ridge: float = 0.02, rounds: int = 600) -> Model:
+    """Descend on the log loss plus the weighted squared score differences of the swaps.
+
+    ``hits``: the chosen features of each text, as numbers; ``swaps``: features taken away, features added, weight.
+    """
+    n, size = len(y), len(chosen)
+    row, col = np.repeat(np.arange(n), [len(h) for h in hits]), np.concatenate([*hits, np.zeros(0, np.int64)]).astype(np.int64)
+    d_row = np.concatenate([np.full(len(g) + len(c), i) for i, (g, c, _) in enumerate(swaps)] or [np.zeros(0, np.int64)])
+    d_col = np.concatenate([np.concatenate([g, c]) for g, c, _ in swaps] or [np.zeros(0, np.int64)]).astype(np.int64)
+    d_sign = np.concatenate([np.append(np.full(len(g), -1.0), np.ones(len(c))) for g, c, _ in swaps] or [np.zeros(0)])
+    times = np.array([t for _, _, t in swaps])
+    w, b = np.zeros(size), constant(n, float(y.sum())).bias
+    m1, m2 = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, rounds + 1):
         s = b + np.bincount(row, weights=w[col], minlength=n)
         r = (1 / (1 + np.exp(-np.clip(s, -50, 50))) - y) / n
-        g = np.bincount(col, weights=r[row], minlength=len(w)) + ridge * w / n * 10
-        g += 2 * penalty * (D.T @ (T * (D @ w))) / n
+        g = np.bincount(col, weights=r[row], minlength=size) + ridge * w / n * 10
+        if len(swaps):
+            change = times * np.bincount(d_row, weights=d_sign * w[d_col], minlength=len(swaps))
+            g += 2 * penalty * np.bincount(d_col, weights=d_sign * change[d_row], minlength=size) / n
         q = np.append(g, r.sum())
         m1, m2 = 0.9 * m1 + 0.1 * q, 0.999 * m2 + 0.001 * q * q
         move = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9)
@@ -184,10 +183,45 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray, penalty: float = 5.0, ridge:
     return Model(chosen, w, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int = MAX_DOCS) -> Model:
-    """Fit on at most ``max_docs`` labelled rows that are not held out. Without labels every score is 0.5."""
-    rows = features_of(sample(docs, labels, label, max_docs), distinct_features)
-    return fit_bags([np.frombuffer(f, dtype=np.uint32) for f in rows["features"]], rows["label"].to_numpy(dtype=np.float64))
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int = MAX_DOCS, penalty: float = 5.0) -> Model:
+    """Fit on the labelled rows of ``labels.sample``. Without both labels every score is the base rate (0.5 without any).
+
+    The driver gets the chosen features, the numbers of those that each text has, and the distinct swaps.
+    """
+    rows = cut(sample(docs, labels, label, max_docs))
+
+    def features(batches):
+        for b in (part for whole in batches for part in slices(whole, "text")):
+            bags = distinct_features([t.encode() for t in b.column("text").to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bags)]), pa.int32()), pa.array(np.concatenate(bags).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("label"), lists], names=["label", "keys"])
+
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not n or n1 in (0, n):
+        return constant(n, n1)
+    keys = rows.mapInArrow(features, "label int, keys array<bigint>").select("label", F.explode("keys").alias("key"))
+    counts = keys.groupBy("key").agg(F.count("*").alias("seen"), F.sum("label").alias("toxic")).where(F.col("seen") >= SEEN)
+    base = n1 / n
+    counts = counts.where(F.abs((F.col("toxic") - F.col("seen") * base) / F.sqrt(F.col("seen") * base * (1 - base))) >= DEVIATIONS).toPandas()
+    chosen = useful(n, n1, counts["key"].to_numpy(dtype=np.uint32), counts["seen"].to_numpy(dtype=np.float64), counts["toxic"].to_numpy(dtype=np.float64))
+    if not len(chosen):
+        return constant(n, n1)
+
+    def hits(batches):
+        for b in (part for whole in batches for part in slices(whole, "text")):
+            bags = distinct_features([t.encode() for t in b.column("text").to_pylist()])
+            found = [np.flatnonzero(np.isin(chosen, x)).astype(np.int32).tobytes() for x in bags]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "hits"])
+
+    def changes(batches):
+        for b in batches:
+            found = [x for t in b.column("text").to_pylist() for x in differences(t, chosen)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate((pa.binary(), pa.binary(), pa.float64()))], names=["gone", "come", "weight"])
+
+    own = rows.mapInArrow(hits, "doc_id bigint, label int, hits binary").toPandas().sort_values("doc_id", ignore_index=True)
+    swaps = rows.mapInArrow(changes, "gone binary, come binary, weight double").groupBy("gone", "come").agg(F.sum("weight").alias("weight")).toPandas().sort_values(["gone", "come"])
+    read = lambda x: np.frombuffer(x, dtype=np.int32)
+    return fit(chosen, [read(h) for h in own["hits"]], own["label"].to_numpy(dtype=np.float64), [(read(g), read(c), t) for g, c, t in swaps.itertuples(index=False)], penalty)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut: float = 0.5, max_docs: int = MAX_DOCS) -> DataFrame:
