@@ -12,9 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import cut
+
 WINDOW = 8
-#: Windows (of all items) up to which keys are broadcast: about 100 bytes each. Beyond it both sides are shuffled.
-BROADCAST_WINDOWS = 200_000
+#: Windows of all items (rows, and bytes of their words) up to which what is made of them is broadcast. Both bound every
+#: table sent: keys and the vocabulary hold no more words than the windows. Beyond either both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,8 +32,8 @@ def words(text: Column) -> Column:
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, win, len): the distinct windows of each item, words joined by spaces. Items without id or words have none."""
     items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1)), lambda i: F.slice("w", i, window))
-    return items.select("item_id", F.explode(cut).alias("x")).select("item_id", F.array_join("x", " ").alias("win"), F.size("x").alias("len")).distinct()
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1)), lambda i: F.slice("w", i, window))
+    return items.select("item_id", F.explode(parts).alias("x")).select("item_id", F.array_join("x", " ").alias("win"), F.size("x").alias("len")).distinct()
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -60,6 +63,20 @@ def occurrences(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     return found.select("doc_id", "row", "start", "len", "win")
 
 
+def _prepared(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(found windows, windows of items, hinted to be broadcast where they are small); both written to the shared folder."""
+    of_item = cut(item_windows(benchmark, window))
+    rows, size = of_item.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("win").cast("bigint")), F.lit(0))).first()
+    small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    found = cut(occurrences(docs, of_item.select("win", "len").distinct(), small))
+    return found, F.broadcast(of_item) if small else of_item
+
+
+def _items(found: DataFrame, of_item: DataFrame) -> DataFrame:
+    """(doc_id, row, item_id): the items with a window in each document, once."""
+    return found.select("doc_id", "row", "win").distinct().join(of_item.select("win", "item_id"), "win").select("doc_id", "row", "item_id").distinct()
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items: int = 2) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``.
 
@@ -68,30 +85,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     rows with a null or repeated id are kept, each judged by its own text; an empty benchmark hits nothing.
     Other columns are not read.
     """
-    of_item = item_windows(benchmark, window)
-    windows = of_item.select("win", "len").distinct()
-    small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    found = occurrences(docs, windows, small)
-    by_window = found.groupBy("doc_id", "row", "win", "len").agg(F.collect_set("start").alias("starts"))
-    spread = lambda s, n: F.flatten(F.transform(s, lambda x: F.sequence(x, x + n - 1)))
-    by_window = by_window.select("doc_id", "row", "win", spread(F.col("starts"), F.col("len")).alias("covered"))
-    item_sets = of_item.groupBy("win").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    joined = by_window.join(F.broadcast(item_sets) if small else item_sets, "win")
-    per_doc = joined.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    hits = per_doc.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.size("covered").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    found, of_item = _prepared(docs, benchmark, window)
+    spread = F.flatten(F.transform("places", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
+    hit = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "len")).alias("places")).select("doc_id", "row", F.size(F.array_distinct(spread)).cast("bigint").alias("n_hit"))
+    names = _items(found, of_item).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
+    names = names.select("doc_id", "row", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    key = lambda df, d, r: df.withColumnRenamed("doc_id", d).withColumnRenamed("row", r)
+    both = key(hit, "d", "r").join(key(names, "e", "s"), F.col("d").eqNullSafe(F.col("e")) & (F.col("r") == F.col("s"))).drop("e", "s")
     all_rows = _rows(docs).select("doc_id", "row", F.size("w").cast("bigint").alias("n_words"))
-    out = all_rows.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
+    out = all_rows.join(both, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
     return out.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_items", F.lit(0)) >= items).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items: int = 2) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; a repeated id goes by each row's own text."""
-    of_item = item_windows(benchmark, window)
-    windows = of_item.select("win", "len").distinct()
-    small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    found = occurrences(docs, windows, small).select("doc_id", "row", "win").distinct()
-    bad = found.join(F.broadcast(of_item) if small else of_item, "win").select("doc_id", "row", "item_id").distinct().groupBy("doc_id", "row").count().where(F.col("count") >= items)
+    bad = _items(*_prepared(docs, benchmark, window)).groupBy("doc_id", "row").count().where(F.col("count") >= items)
     bad = bad.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"))
     row = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (row == F.col("__r")), "left_anti")
