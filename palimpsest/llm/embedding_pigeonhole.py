@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, first_id, named_by
 from .session import cut
 from .streams import by_group
 
 BLOCK = 16
 #: Vectors of a cell that meet in one task at most; larger cells are joined chunk by chunk.
 CHUNK = 16384
+#: Vectors on a side of a tile of distances, small enough to stay in a core's cache.
+TILE = 512
 _SLACK = 1e-6
 
 
@@ -62,7 +64,7 @@ def _prepare(vectors: DataFrame, column: str) -> DataFrame:
                 raw = short.tobytes() if (short == x).all() else x.tobytes()
                 keys.append(hashlib.blake2b(raw + len(x).to_bytes(8, "big"), digest_size=16).digest())
                 vecs.append(raw)
-                rots.append(((x / np.linalg.norm(x)) @ rotation_of(len(x))).astype(np.float32).tobytes())
+                rots.append(rotated(x).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary()), pa.array(rots, pa.binary())], names=["vec_id", "key", "vec", "rot"])
 
     own = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col(f"`{column}`").cast("array<double>").alias("v"))
@@ -78,6 +80,11 @@ def rotation_of(d: int) -> np.ndarray:
     return _rotations[d]
 
 
+def rotated(x: np.ndarray) -> np.ndarray:
+    """The rotated unit vector. One vector at a time, so that every task gets the same bits for it."""
+    return ((x / np.linalg.norm(x)) @ rotation_of(len(x))).astype(np.float32)
+
+
 def _cells(rot: np.ndarray, cosine: float, grid: int):
     """(block, own cell, neighbour cells that come before it) for each block; cells are tuples of integers."""
     d = len(rot)
@@ -110,7 +117,7 @@ def _counts(classes: DataFrame, cosine: float, grid: int) -> dict[str, list[int]
 
 
 def _deal(classes: DataFrame, counts: dict[str, list[int]], cosine: float, grid: int) -> DataFrame:
-    """Rows (task, side, node, m, vec, rot): left rows of a task meet its right rows; side 2 meets itself."""
+    """Rows (task, side, node, m, vec): left rows of a task meet its right rows; side 2 meets itself."""
     parts = {c: (-(-h // CHUNK), -(-v // CHUNK)) for c, (h, v) in counts.items() if h}
 
     def run(batches):
@@ -118,7 +125,7 @@ def _deal(classes: DataFrame, counts: dict[str, list[int]], cosine: float, grid:
             task, side, row = [], [], []
             for i, (node, r) in enumerate(zip(b.column("node").to_pylist(), b.column("rot").to_pylist())):
                 rot = np.frombuffer(r, dtype=np.float32)
-                spot = int.from_bytes(node[:8], "big")
+                spot = int.from_bytes(node[-8:], "big")
                 for k, own, before in _cells(rot, cosine, grid):
                     name = _name(len(rot), k, own)
                     homes, visits = parts[name]
@@ -132,23 +139,26 @@ def _deal(classes: DataFrame, counts: dict[str, list[int]], cosine: float, grid:
                     for t, s in todo:
                         task.append(t), side.append(s), row.append(i)
             rows = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(task, pa.string()), pa.array(side, pa.int32()), *[b.column(c).take(rows) for c in ("node", "m", "vec", "rot")]], names=["task", "side", "node", "m", "vec", "rot"])
+            yield pa.RecordBatch.from_arrays([pa.array(task, pa.string()), pa.array(side, pa.int32()), *[b.column(c).take(rows) for c in ("node", "m", "vec")]], names=["task", "side", "node", "m", "vec"])
 
-    return classes.select("node", "m", "vec", "rot").mapInArrow(run, "task string, side int, node binary, m bigint, vec binary, rot binary")
+    return classes.select("node", "m", "vec", "rot").mapInArrow(run, "task string, side int, node binary, m bigint, vec binary")
 
 
 def _join_cell(cosine: float):
     def work(table):
-        rot = np.stack([np.frombuffer(r, dtype=np.float32) for r in table.column("rot").to_pylist()])
-        n, d = rot.shape
+        n, d = table.num_rows, int(table.column("task")[0].as_py().split(".", 1)[0])
         vec = np.stack([np.frombuffer(v, dtype=np.float32 if len(v) == 4 * d else np.float64).astype(np.float64) for v in table.column("vec").to_pylist()])
+        rot = np.stack([rotated(v) for v in vec])
         norm = np.sqrt(np.einsum("ij,ij->i", vec, vec))
         m, side, node = table.column("m").to_numpy(), table.column("side").to_numpy(), table.column("node").to_pylist()
         block = int(table.column("task")[0].as_py().split(".")[1])
         budgets = radii(d, cosine)
         a, b = blocks(d)[block]
         part = rot[:, a:b]
-        square = np.einsum("ij,ij->i", part, part)
+        square = np.einsum("ij,ij->i", part, part)[:, None]
+        one = np.ones_like(square)
+        # one product gives the squared distances of a tile: (-2x, |x|**2, 1) . (y, 1, |y|**2)
+        near_left, near_right = np.hstack([-2 * part, square, one]), np.hstack([part, one, square])
         left = np.flatnonzero(side != 1)
         right = np.flatnonzero(side != 0)
         count = np.zeros(n, dtype=np.int64)
@@ -173,12 +183,15 @@ def _join_cell(cosine: float):
                     forest.append((i[0], j[0]))
                     root[root == root[j[0]]] = root[i[0]]
 
-        for x in range(0, len(left), 1024):
-            rows = left[x : x + 1024]
-            for y in range(0, len(right), 4096):
-                cols = right[y : y + 4096]
-                gap = square[rows][:, None] + square[cols][None, :] - 2 * (part[rows] @ part[cols].T)
-                i, j = np.nonzero(gap <= budgets[block] + 1e-4)
+        least = np.float32(budgets[block] + 1e-4)
+        for x in range(0, len(left), TILE):
+            rows = left[x : x + TILE]
+            for y in range(0, len(right), 2 * TILE):
+                cols = right[y : y + 2 * TILE]
+                close = near_left[rows] @ near_right[cols].T <= least
+                if not close.any():
+                    continue
+                i, j = np.nonzero(close)
                 i, j = rows[i], cols[j]
                 once = (side[i] != side[j]) | (i < j)
                 i, j = i[once], j[once]
@@ -202,7 +215,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, column: str = "embe
     expanded into pairs. A row without vec_id takes part, but names no component. An empty table stays empty.
     """
     rows = cut(_prepare(vectors, column))
-    classes = cut(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("vec").alias("vec"), F.first("rot").alias("rot")).withColumnRenamed("key", "node"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("vec").alias("vec"), F.first("rot").alias("rot"))
+    classes = cut(classes.withColumn("node", named_by("least", "key")))
     n = classes.count()
     grid = 1
     while grid < 4 and n > CHUNK * 4 ** (grid + 1):  # finer cells before more chunks
@@ -211,9 +225,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, column: str = "embe
     found = cut(by_group(dealt, "task", _join_cell(cosine), "a binary, n bigint, b binary"))
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     joined = components(found.where("b is not null").select("a", "b"))
-    named = classes.select("node", "least", "m").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "component").join(links.withColumnRenamed("a", "node"), "node", "left").select(F.col("node").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
+    # a component is called by its least node, and that node by the least id: no join by component is needed
+    named = classes.select("key", "node", "m").join(joined, "node", "left").join(links.withColumnRenamed("a", "node"), "node", "left")
+    of = named.select("key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), first_id("component").alias("by_link"), first_id("node").alias("own"), F.col("component").isNull().alias("alone"))
+    of = of.select("key", "n_links", F.when(F.col("alone"), F.col("own")).otherwise(F.col("by_link")).alias("component_id"))
     out = rows.select("vec_id", "key").join(of, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
