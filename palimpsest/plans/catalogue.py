@@ -81,7 +81,8 @@ def detected_language(spark, sf):
 
 
 def text_chunks(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.posexplode(T.chunks(4999)(F.col("text"))).alias("chunk_no", "chunk"))
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(T.chunks(4999)(F.coalesce("text", F.lit("")))).alias("chunk_no", "chunk"))
+    return rows.select(*_big("doc_id", "chunk_no"), "chunk")
 
 
 def urls(spark, sf):
@@ -203,7 +204,11 @@ def cluster_cosine(spark, sf):
 
 
 def cluster_overlaps(spark, sf):
-    return C.overlaps(C.bounds(C.sessions(_seeds(spark, sf), 4))).select(*_big("doc1", "doc2", "a1", "a2", "b1", "b2"))
+    """Overlaps among the clusters of both gaps; wide ones are numbered from a million. Those of one gap never overlap."""
+    seeds = _seeds(spark, sf)
+    narrow, wide = (C.bounds(C.sessions(seeds, gap)) for gap in (4, 24))
+    both = narrow.unionByName(wide.withColumn("c1", F.col("c1") + 1_000_000))
+    return C.overlaps(both).select(*_big("doc1", "doc2", "a1", "a2", "b1", "b2"))
 
 
 def _resolved(spark, sf):
@@ -324,15 +329,19 @@ seeds as materialized (select doc1, doc2, sent1, sent2, x / (n1.m * n2.m) as cos
   where n1.m * n2.m > 0 and x / (n1.m * n2.m) > 0.6)"""
 )
 _SEEDS = _seeds_of(_BASE)
-_CLUSTERS_TAIL = (
-    """,
-j1 as (select *, case when sent1 - lag(sent1) over (partition by doc1, doc2 order by sent1, sent2) - 1 > 4 then 1 else 0 end as j from seeds),
-k1 as (select doc1, doc2, sent1, sent2, sum(j) over (partition by doc1, doc2 order by sent1, sent2) as c1 from j1),
-j2 as (select *, case when sent2 - lag(sent2) over (partition by doc1, doc2, c1 order by sent2, sent1) - 1 > 4 then 1 else 0 end as j from k1),
-k2 as (select doc1, doc2, c1, sent1, sent2, sum(j) over (partition by doc1, doc2, c1 order by sent2, sent1) as c2 from j2),
-cl as materialized (select doc1, doc2, c1::bigint as c1, c2::bigint as c2, count(*) as n_seeds, min(sent1) as lo1, max(sent1) as hi1, min(sent2) as lo2, max(sent2) as hi2 from k2 group by 1, 2, 3, 4)"""
-)
-_CLUSTERS = _SEEDS + _CLUSTERS_TAIL
+
+
+def _cluster_ctes(gap: int = 4, name: str = "cl", of: str = "") -> str:
+    """CTEs up to ``name``, the clusters of the seeds with a gap; ``of`` keeps the names of the others apart."""
+    return f""",
+j1{of} as (select *, case when sent1 - lag(sent1) over (partition by doc1, doc2 order by sent1, sent2) - 1 > {gap} then 1 else 0 end as j from seeds),
+k1{of} as (select doc1, doc2, sent1, sent2, sum(j) over (partition by doc1, doc2 order by sent1, sent2) as c1 from j1{of}),
+j2{of} as (select *, case when sent2 - lag(sent2) over (partition by doc1, doc2, c1 order by sent2, sent1) - 1 > {gap} then 1 else 0 end as j from k1{of}),
+k2{of} as (select doc1, doc2, c1, sent1, sent2, sum(j) over (partition by doc1, doc2, c1 order by sent2, sent1) as c2 from j2{of}),
+{name} as materialized (select doc1, doc2, c1::bigint as c1, c2::bigint as c2, count(*) as n_seeds, min(sent1) as lo1, max(sent1) as hi1, min(sent2) as lo2, max(sent2) as hi2 from k2{of} group by 1, 2, 3, 4)"""
+
+
+_CLUSTERS = _SEEDS + _cluster_ctes()
 _CHARS = """ select doc1, doc2, c1, c2, chars1, chars2 from (select cl.doc1, cl.doc2, cl.c1, cl.c2, sum(p.end_char - p.start_char)::bigint as chars1 from cl join p on p.doc_id = cl.doc1 and p.sent_pos between lo1 and hi1 group by all)
  join (select cl.doc1, cl.doc2, cl.c1, cl.c2, sum(p.end_char - p.start_char)::bigint as chars2 from cl join p on p.doc_id = cl.doc2 and p.sent_pos between lo2 and hi2 group by all) using (doc1, doc2, c1, c2)"""
 
@@ -375,7 +384,12 @@ _TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(
 _BARE = r"regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '')"
 _NAME = rf"regexp_replace(case when regexp_extract({_BARE}, '^[^/]*/(?:.*/)?([^/]+)/*$', 1) = '' then regexp_extract({_BARE}, '^([^/]*)', 1) else regexp_extract({_BARE}, '^[^/]*/(?:.*/)?([^/]+)/*$', 1) || '_from_' || regexp_extract({_BARE}, '^([^/]*)', 1) end, '[^A-Za-z0-9._-]', '', 'g') || '.txt'"
 
+#: The part of a text t up to its last sentence end within 4,999 characters, or so many characters.
+_CHUNK = r"case when length({0}) <= 4999 then {0} when regexp_matches(left({0}, 4999), '[.!?]\s') then regexp_extract(left({0}, 4999), '(?s)^.*[.!?]\s') else left({0}, 4999) end"
+
 _STATIC_SQL = {
+    "text_chunks": f"""with recursive d as ({_DOCS}), c as (select doc_id, 0::bigint as chunk_no, {_CHUNK.format('text')} as chunk, text from d
+ union all select doc_id, chunk_no + 1, {_CHUNK.format('rest')}, rest from (select doc_id, chunk_no, substr(text, length(chunk) + 1) as rest from c where length(text) > 4999)) select doc_id, chunk_no, chunk from c""",
     "doc_dedupe": f"select doc_id, lang, length(text) as n_chars from ({_DOCS})",
     "duplicate_groups": "select sha256(coalesce(text, '')) as text_key, count(*) as n_docs, min(doc_id) as first_doc from documents group by 1 having count(*) > 1",
     "sentence_spans": _BASE + " select doc_id, sent_idx, start_char::bigint as start_char, end_char::bigint as end_char, len(w) as n_words from raw",
@@ -406,11 +420,12 @@ _STATIC_SQL = {
     "clusters_gap4": _CLUSTERS + " select * from cl",
     "sessionise_doc1": _CLUSTERS + " select doc1, doc2, c1::bigint as c1, count(*) as n_seeds, min(sent1) as lo1, max(sent1) as hi1 from k1 group by 1, 2, 3",
     "cluster_chars": _CLUSTERS + _CHARS,
-    "common_cluster_chars": _seeds_of(_sents(_DOCS, common=True)) + _CLUSTERS_TAIL + _CHARS,
+    "common_cluster_chars": _seeds_of(_sents(_DOCS, common=True)) + _cluster_ctes() + _CHARS,
     "cluster_cosine": _CLUSTERS + f""", v1 as ({_vector(1)}), v2 as ({_vector(2)}),
  f as (select coalesce(v1.doc1, v2.doc1) as doc1, coalesce(v1.doc2, v2.doc2) as doc2, coalesce(v1.c1, v2.c1) as c1, coalesce(v1.c2, v2.c2) as c2, coalesce(v1.w, 0) as x, coalesce(v2.w, 0) as y from v1 full join v2 on v1.doc1 = v2.doc1 and v1.doc2 = v2.doc2 and v1.c1 = v2.c1 and v1.c2 = v2.c2 and v1.lemma = v2.lemma)
  select doc1, doc2, c1, c2, round(case when sqrt(sum(x * x)) * sqrt(sum(y * y)) > 0 then sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) else 0 end, 4) as cos from f group by all""",
-    "cluster_overlaps": _CLUSTERS + " select a.doc1, a.doc2, a.c1 as a1, a.c2 as a2, b.c1 as b1, b.c2 as b2 from cl a join cl b on a.doc1 = b.doc1 and a.doc2 = b.doc2 and (a.c1, a.c2) < (b.c1, b.c2) and a.lo1 <= b.hi1 and b.lo1 <= a.hi1 and a.lo2 <= b.hi2 and b.lo2 <= a.hi2",
+    "cluster_overlaps": _CLUSTERS + _cluster_ctes(24, "wide", "w") + """, ca as (select * from cl union all select doc1, doc2, c1 + 1000000, c2, n_seeds, lo1, hi1, lo2, hi2 from wide)
+ select a.doc1, a.doc2, a.c1 as a1, a.c2 as a2, b.c1 as b1, b.c2 as b2 from ca a join ca b on a.doc1 = b.doc1 and a.doc2 = b.doc2 and (a.c1, a.c2) < (b.c1, b.c2) and a.lo1 <= b.hi1 and b.lo1 <= a.hi1 and a.lo2 <= b.hi2 and b.lo2 <= a.hi2""",
     "word_runs": _SEEDS + """, f as (select doc1, doc2, min({'a': sent1, 'b': sent2}) as s from seeds group by 1, 2),
  x1 as (select f.doc1, f.doc2, unnest(p.words) as word, generate_subscripts(p.words, 1) - 1 as p1 from f join p on p.doc_id = f.doc1 and p.sent_idx = f.s.a),
  x2 as (select f.doc1, f.doc2, unnest(p.words) as word, generate_subscripts(p.words, 1) - 1 as p2 from f join p on p.doc_id = f.doc2 and p.sent_idx = f.s.b),
