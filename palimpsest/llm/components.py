@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     rounds: list[DataFrame] = []
     while not rounds or not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
+        # written before it is joined, so that the join is free to split what points to a hub
+        point = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")))
         further = point.select(F.col("a").alias("p"), F.col("p").alias("q")).hint("merge")
         point = cut(point.join(further, "p").select("a", F.col("q").alias("p")))
         rounds.append(point)
