@@ -450,3 +450,30 @@ def test_pipeline_follows_its_stages(spark):
     assert set(got) == clean
     assert all(r["round_trip"] for r in got.values())
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_with_odd_rows_and_none(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    good = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 200").limit(12).collect()]
+    odd = [(None, good[0][1] + " tail", "en", "s", 1), (good[1][0], "another text of a repeated id " * 9, "en", "s", 1), (7001, None, None, None, None), (7002, "", None, None, 0), good[2]]
+    for name, rows in (("odd", good + odd), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{folder}/{table}.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert all(r["round_trip"] for r in got) and (rows or not got)
+        assert len({(r["doc_id"], tuple(r["ids"])) for r in got}) == len([r for r in got])  # repeated rows are near copies
+
+
+def test_encoding_and_windows_with_clashing_columns_and_no_rows(spark):
+    schema = "doc_id bigint, text string, ids string, decoded int, row string, word string, w string, start int, len int, win string, items string, n int"
+    rows = [(1, "one two three four five six seven eight nine", "i", 1, "r", "o", "w", 2, 3, "x", "y", 4)] * 2 + [(None, None, "i", 1, "r", "o", "w", 2, 3, "x", "y", 4)]
+    docs = spark.createDataFrame(rows, schema)
+    items = spark.createDataFrame([(1, "two three four five six seven eight nine", "w"), (2, "nine", "w"), (None, "one", "w"), (3, None, "w")], "item_id bigint, text string, win string")
+    got = decontaminate.decontaminate(docs, items).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in got) == [(0, 0, 0, 0, False), (1, 9, 8, 2, True), (1, 9, 8, 2, True)]
+    assert decontaminate.clean(docs, items).columns == docs.columns and decontaminate.clean(docs, items).count() == 1
+    assert decontaminate.decontaminate(docs.limit(0), items).count() == 0 and decontaminate.decontaminate(docs, items.limit(0)).where("n_hit > 0").count() == 0
+    assert bpe.digests(docs, RANKS, PATTERN).count() == 3 and bpe.digests(docs.limit(0), RANKS, PATTERN).count() == 0
+    assert bpe.tokenize(docs, RANKS, PATTERN).columns == [c for c in docs.columns if c not in ("text", "ids", "decoded")] + ["ids", "n_tokens", "decoded"]
