@@ -31,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without windows of two benchmark items or more."""
-    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+    """Documents without windows of two benchmark items or more; one item's are cut out of the text, which n_chars follows."""
+    return decontaminate.scrub(docs, _table(spark, sf_dir, "benchmark")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

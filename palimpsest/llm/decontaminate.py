@@ -9,7 +9,7 @@ compared exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import cut
@@ -19,6 +19,8 @@ WINDOW = 8
 #: table sent: keys and the vocabulary hold no more words than the windows. Beyond either both sides are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text whose A-Z are still there.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -104,3 +106,44 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items: in
     bad = bad.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"))
     row = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (row == F.col("__r")), "left_anti")
+
+
+def _runs(found: DataFrame) -> DataFrame:
+    """(doc_id, row, runs): the maximal runs [start, end) of words inside occurrences, in order."""
+    places = found.select("doc_id", "row", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
+    order = Window.partitionBy("doc_id", "row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = places.withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("start")).cast("int")).withColumn("run", F.sum("new").over(order))
+    runs = runs.groupBy("doc_id", "row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+
+
+def _without(text: Column, runs: Column, mark: str) -> Column:
+    """``text`` with ``mark`` in place of each run of words and what stands between them; all else as it was."""
+    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731 - evaluated once, not once a run
+    unit = lambda between, word: F.concat(between, F.coalesce(word, F.lit("")))  # noqa: E731 - the last has no word
+
+    def parts(x):
+        head = lambda r, k: F.coalesce(F.get(x["runs"], k - 1)["end"], F.lit(0))
+        kept = lambda r, k: F.concat(F.array_join(F.slice(x["u"], head(r, k) + 1, r["start"] - head(r, k)), ""), F.get(x["p"], r["start"]), F.lit(mark))
+        tail = F.array_join(F.slice(x["u"], F.element_at(x["runs"], -1)["end"] + 1, F.size(x["u"])), "")
+        return F.concat(F.array_join(F.transform(x["runs"], kept), ""), tail)
+
+    pieces = F.struct(F.split(text, _WORD, -1).alias("p"), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("w"))
+    return bound(pieces, lambda x: bound(F.struct(x["p"].alias("p"), F.zip_with(x["p"], x["w"], unit).alias("u"), runs.alias("runs")), parts))
+
+
+def scrub(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items: int = 2, mark: str = "<benchmark>") -> DataFrame:
+    """The rows that ``clean`` keeps, with ``mark`` in their texts in place of each run of words inside windows.
+
+    What holds fewer than ``items`` items is no reason to drop a document, but none to keep their words either. The mark is
+    a word that keeps those on both sides from making a window. Texts without windows and all other columns stay.
+    """
+    found, of_item = _prepared(docs, benchmark, window)
+    names = _items(found, of_item).groupBy("doc_id", "row").agg(F.count("*").alias("__n")).withColumnsRenamed({"doc_id": "__e", "row": "__s"})
+    runs = _runs(found).withColumnsRenamed({"doc_id": "__d", "row": "__r", "runs": "__runs"})
+    hit = runs.join(names, F.col("__d").eqNullSafe(F.col("__e")) & (F.col("__r") == F.col("__s"))).drop("__e", "__s")
+    row = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__d")) & (row == F.col("__r")), "left").where(F.coalesce("__n", F.lit(0)) < items)
+    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(_without(F.col("text").cast("string"), F.col("__runs"), mark))
+    return own.withColumn("text", text).drop("__d", "__r", "__n", "__runs")

@@ -452,6 +452,42 @@ def test_pipeline_follows_its_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
+def test_no_benchmark_words_leave_the_pipelines_stage(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    before = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, items).collect()}
+    kept = corpus_pipeline.benchmark_leaks(spark, docs, SF)
+    after = {r["doc_id"]: r for r in decontaminate.decontaminate(kept, items).collect()}
+    own, got = ({r["doc_id"]: r for r in df.collect()} for df in (docs, kept))
+    assert kept.columns == docs.columns and len(got) == kept.count() and set(got) == {i for i, r in before.items() if r["n_items"] < 2}
+    assert any(before[i]["n_hit"] for i in got) and not any(r["n_hit"] for r in after.values())
+    for i, r in got.items():
+        assert r["text"] == own[i]["text"] if not before[i]["n_hit"] else after[i]["n_words"] == before[i]["n_words"] - before[i]["n_hit"] + r["text"].count("<benchmark>")
+        assert r["n_chars"] == (len(r["text"]) if r["text"] is not None else None)
+
+
+def test_runs_of_windows_are_cut_out_of_texts(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota"), (2, "ein Satz über etwas"), (3, None)], "item_id bigint, text string")
+    whole = "Alpha, beta; gamma delta\n epsilon zeta eta theta iota"
+    rows = [
+        (1, f"\u00c9t\u00e9 (AB) {whole}! \U0001f600 End.", "x"),
+        (2, whole, "x"),
+        (2, "other text of a repeated id", "x"),
+        (3, f"{whole} {whole} tail", "x"),
+        (4, f"{whole} and ein satz über etwas", "x"),
+        (5, "alpha beta gamma delta Ein satz über ETWAS epsilon zeta eta theta; ein SATZ über etwas", "x"),
+        (6, "alpha beta gamma delta epsilon zeta eta", "x"),
+        (None, f" {whole} iota", "x"),
+        (7, None, "x"),
+        (8, "", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, runs string")
+    got = sorted(map(tuple, decontaminate.scrub(docs, items).collect()), key=str)
+    want = [(1, "\u00c9t\u00e9 (AB) <benchmark>! \U0001f600 End.", "x"), (2, "<benchmark>", "x"), rows[2], (3, "<benchmark> tail", "x")]
+    want += [(5, "alpha beta gamma delta <benchmark> epsilon zeta eta theta; <benchmark>", "x"), rows[6], (None, " <benchmark> iota", "x"), *rows[8:]]
+    assert got == sorted(want, key=str)
+    assert decontaminate.scrub(docs.limit(0), items).count() == 0 and decontaminate.scrub(docs, items.limit(0)).count() == len(rows)
+
+
 def test_pipeline_with_odd_rows_and_none(spark, tmp_path):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     good = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 200").limit(12).collect()]
