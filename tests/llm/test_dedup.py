@@ -228,3 +228,25 @@ def test_every_copy_inside_a_document_is_found(spark, block_bytes):
     rows = [(0, f"{more[0]} {copy}"), (1, f"{copy} {more[1]} {copy} {more[2]}")]
     got = sorted(map(tuple, passage_chains.passages(frame(spark, rows), block_bytes=block_bytes).collect()))
     assert got == [(1, 0, 100, 0, 100, 200, 100), (1, 200, 300, 0, 100, 200, 100)]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 22, 2500])
+def test_every_pair_of_differently_edited_copies_is_found(spark, block_bytes):
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    copies = [[f"x{i}n{k}" if rng.random() < 0.05 else w for k, w in enumerate(base)] for i in range(12)]
+    rows = [(i, " ".join([prose(rng, 80, 10**6), *c, prose(rng, 80, 10**6)])) for i, c in enumerate(copies)]
+    got = {}
+    for r in passage_chains.passages(frame(spark, rows), block_bytes=block_bytes).collect():
+        assert r["source_doc_id"] < r["doc_id"] and r["start_word"] >= 80 and r["end_word"] <= 280
+        got[r["doc_id"], r["source_doc_id"]] = got.get((r["doc_id"], r["source_doc_id"]), 0) + r["n_match"]
+    for i in range(12):
+        for j in range(i):
+            equal = sum(x == y for x, y in zip(copies[i], copies[j]))
+            assert equal >= 160 and got[i, j] >= 0.9 * equal
+
+
+def test_passages_do_not_depend_on_blocks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = [sorted(map(tuple, passage_chains.passages(docs, block_bytes=b, group_bytes=b).collect())) for b in (1 << 22, 60_000)]
+    assert some[0] and some[0] == some[1]
