@@ -6,9 +6,10 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.lineage import cut
-from palimpsest.operators import blocks, preprocess, seeds
+from palimpsest.operators import blocks, clusters, preprocess, seeds
 
 
 def shuffled(spark, df):
@@ -92,3 +93,48 @@ def test_seeds_equal_a_plain_version_and_send_no_words_of_pairs(spark, own):
     _, alone = shuffled(spark, lambda: seeds.dice_pairs(own, 0.6))
     n = max(4, -(-sum(len(r["lemmas"]) for r in rows if not r["is_common"]) // 60))
     assert sent <= alone + len(pairs) + n * len(rows) + 100, (sent, alone, len(pairs), n)
+
+
+def test_clusters_equal_plain_versions(spark, own):
+    rows = own.collect()
+    bags, isf = plain_weights(rows)
+    spans = {(r["doc_id"], r["sent_pos"]): r["end_char"] - r["start_char"] for r in rows if not r["is_common"]}
+    found = cut(clusters.bounds(clusters.sessions(seeds.seeds(own, 0.3, 0.4), 1)))
+    keys = {tuple(r[c] for c in ("doc1", "doc2", "c1", "c2")): r for r in found.collect()}
+    chars, cosines = {}, {}
+    for k, r in keys.items():
+        cover = [[p for p in range(r[f"lo{i}"], r[f"hi{i}"] + 1) if (r[f"doc{i}"], p) in spans] for i in (1, 2)]
+        if all(cover):
+            chars[k] = tuple(sum(spans[(r[f"doc{i}"], p)] for p in cover[i - 1]) for i in (1, 2))
+        if any(cover):
+            cosines[k] = pytest.approx(plain_cosine(bags, isf, r["doc1"], r["doc2"], *cover), abs=1e-9)
+    assert any(r["hi1"] > r["lo1"] for r in keys.values())
+    assert {tuple(r)[:4]: tuple(r)[4:] for r in clusters.char_lengths(found, own).collect()} == chars
+    assert {tuple(r)[:4]: r["cos"] for r in clusters.cluster_cosines(found, own).collect()} == cosines
+
+
+@pytest.mark.parametrize("least", [1, 30])
+def test_resolved_clusters_equal_the_plain_functions(spark, own, least):
+    from palimpsest.config import DetectionConfig
+
+    config = DetectionConfig(adjacent_sents_gap=1, adjacent_sents_gap_summary=2, min_cluster_char_len=least, min_cluster_cos_sim=0.5)
+    rows = own.collect()
+    bags, isf = plain_weights(rows)
+    at = cut(seeds.seeds(own, 0.3, 0.4))
+    pairs = {}
+    for r in at.collect():
+        pairs.setdefault((r["doc1"], r["doc2"]), []).append((r["sent1"], r["sent2"]))
+    wanted = set()
+    for (a, b), some in pairs.items():
+        sides = (clusters.Side(), clusters.Side())
+        for r in rows:
+            if r["doc_id"] in (a, b) and not r["is_common"]:
+                side = sides[r["doc_id"] == b]
+                side.spans[r["sent_pos"]] = (r["start_char"], r["end_char"])
+                side.bags[r["sent_pos"]] = {w: tf * isf(a, b, w) for w, tf in bags[(r["doc_id"], r["sent_pos"])].items()}
+        for kind, gap in ((1, 1), (2, 2)):
+            for session in clusters.build(some, 2):
+                wanted |= {(a, b, kind, c.lo[0], c.hi[0], c.lo[1], c.hi[1], *c.span(0), *c.span(1), c.chars(0), c.chars(1), round(c.cos(), 6)) for c in clusters.pair_clusters(session, sides, gap, config)}
+    names = ["doc1", "doc2", "kind", "lo1", "hi1", "lo2", "hi2", "start1", "end1", "start2", "end2", "chars1", "chars2"]
+    found = clusters.resolved(at, own, config).select(*names, F.round("cos", 6)).collect()
+    assert {tuple(r) for r in found} == wanted and len(found) == len(wanted) > 4
