@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.lineage import cut
-from palimpsest.operators import blocks, clusters, preprocess, seeds
+from palimpsest.operators import blocks, clusters, matches, preprocess, seeds
 
 
 def shuffled(spark, df):
@@ -138,3 +138,21 @@ def test_resolved_clusters_equal_the_plain_functions(spark, own, least):
     names = ["doc1", "doc2", "kind", "lo1", "hi1", "lo2", "hi2", "start1", "end1", "start2", "end2", "chars1", "chars2"]
     found = clusters.resolved(at, own, config).select(*names, F.round("cos", 6)).collect()
     assert {tuple(r) for r in found} == wanted and len(found) == len(wanted) > 4
+
+
+def test_word_runs_equal_a_plain_version(spark, own):
+    rows = {(r["doc_id"], r["sent_idx"]): r["words"] for r in own.where("not is_common").collect()}
+    pairs = cut(seeds.dice_pairs(own, 0.5).select("doc1", "doc2", "sent1", "sent2"))
+    wanted = Counter()
+    for r in pairs.collect():
+        a, b = rows[(r["doc1"], r["sent1"])], rows[(r["doc2"], r["sent2"])]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                        n += 1
+                    if (size := sum(map(len, a[i : i + n]))) >= 5:
+                        wanted[(r["doc1"], r["doc2"], i, j, n, size)] += 1
+    got = Counter(map(tuple, matches.word_runs(pairs, own, 5).collect()))
+    assert got == wanted and len(got) > 50
