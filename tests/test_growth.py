@@ -42,9 +42,10 @@ def test_words_are_counted_document_by_document(spark):
     assert "HashAggregate" not in plan(found)
 
 
-def test_stopword_bow_holds_no_words_in_memory(spark, tmp_path):
+def test_stopword_bow_holds_no_words_in_memory_and_vocab_sf_writes_none(spark, tmp_path):
     from palimpsest.plans import catalogue
 
     docs = texts(spark).withColumn("lang", F.lit("en"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert not any("lemma" in line for line in plan(catalogue.stopword_bow(spark, str(tmp_path))).splitlines() if "HashAggregate" in line)
+    assert "Scan ExistingRDD" not in plan(catalogue.vocab_sf(spark, str(tmp_path)))
