@@ -49,3 +49,4 @@ def test_stopword_bow_holds_no_words_in_memory_and_vocab_sf_writes_none(spark, t
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert not any("lemma" in line for line in plan(catalogue.stopword_bow(spark, str(tmp_path))).splitlines() if "HashAggregate" in line)
     assert "Scan ExistingRDD" not in plan(catalogue.vocab_sf(spark, str(tmp_path)))
+    assert not any("collect_list(struct(pos" in line for line in plan(catalogue.vocab_sf(spark, str(tmp_path))).splitlines())  # merged within a row
